@@ -1,0 +1 @@
+"""Intentionally empty: every job of this library is a bounded batch build (see README)."""
