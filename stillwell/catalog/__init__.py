@@ -1,2 +1,2 @@
-from . import features, tables
+from . import features, spatial, statistics, tables
 from .registry import ORACLE, QUERIES

@@ -110,6 +110,8 @@ _CTES = {
         FROM nation CROSS JOIN calendar c LEFT JOIN shipped s ON s.cell = n_nationkey AND s.date = c.date"""),
     "driver": (("sparse_driver",), """SELECT cell, date, coalesce(mm, 0) AS mm,
         sum(coalesce(mm, 0)) OVER (PARTITION BY cell ORDER BY date) AS cum FROM sparse_driver"""),
+    "campaign_readings": (("readings",), """SELECT entity, season_year, season, max(date) AS date,
+        arg_max(value, date) AS value FROM readings GROUP BY 1, 2, 3"""),
     "changes": (("readings",), """SELECT *, value - value_start AS delta, CAST(date - prev_date AS INT) AS gap,
         CASE WHEN season_year <= 1998 THEN 'train' WHEN season_year = 1999 THEN 'valid' ELSE 'test' END AS split
         FROM (SELECT *, lag(value) OVER w AS value_start, lag(date) OVER w AS prev_date, lag(season) OVER w AS prev_season

@@ -25,10 +25,6 @@ def wide_orders(spark, sf):
     return aggregates.pivot(last, ["entity"], "campaign", _QUARTERS, "value")
 
 
-analog.define("campaign_readings", ("readings",), """SELECT entity, season_year, season, max(date) AS date,
-    arg_max(value, date) AS value FROM readings GROUP BY 1, 2, 3""")
-
-
 @query("unpivot_wide", sql(["campaign_readings"], f"""SELECT entity, season, season_year, make_date(season_year::BIGINT,
 CASE season WHEN 'JAN' THEN 1 WHEN 'MAY' THEN 5 WHEN 'AUG' THEN 8 ELSE 11 END, 15) AS campaign_date,
 {R('value')} AS value FROM campaign_readings"""))
