@@ -204,8 +204,7 @@ def select_district(spark, sf):
     return places.select_entities(stations(spark, sf), district=" Nation_1 ").select("id")
 
 
-@query("select_prefix", sql(["entities"], "SELECT 'c' || entity AS id FROM entities WHERE grp LIKE 'NATION_1%' AND NOT EXISTS (SELECT 1 FROM entities WHERE lower(grp) = 'nation_') OR grp LIKE 'NATION_%' AND length(grp) > 0 AND false"
-       .replace("grp LIKE 'NATION_1%'", "starts_with(grp, 'NATION_') AND state = 'ASIA'")))
+@query("select_prefix", sql(["entities"], "SELECT 'c' || entity AS id FROM entities WHERE starts_with(grp, 'NATION_') AND state = 'ASIA'"))
 def select_prefix(spark, sf):
     return places.select_entities(stations(spark, sf), district="nation_", state="asia").select("id")
 
