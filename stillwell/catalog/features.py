@@ -185,10 +185,19 @@ def smoothed_normals(spark, sf):
     return rounded(sequences.smoothed_normals(analog.driver(spark, sf), _in_train(spark, sf)))
 
 
+def packed_weeks(spark, sf, daily=None):
+    recorded = analog.driver(spark, sf)
+    normals = sequences.smoothed_normals(recorded, _in_train(spark, sf))
+    return sequences.pack_weeks(recorded if daily is None else daily, normals)
+
+
 def weekly(spark, sf, daily=None):
-    daily = analog.driver(spark, sf) if daily is None else daily
-    normals = sequences.smoothed_normals(analog.driver(spark, sf), _in_train(spark, sf))
-    return sequences.attach_weeks(analog.intervals(spark, sf), sequences.pack_channels(daily, normals))
+    return sequences.attach_weeks(analog.intervals(spark, sf), packed_weeks(spark, sf, daily))
+
+
+def cell_weekly(spark, sf):
+    """Without the reading's own channel: what most summaries need."""
+    return sequences.attach_cell_weeks(analog.intervals(spark, sf), packed_weeks(spark, sf))
 
 
 def _weeks_sql(weeks: int) -> str:
@@ -213,14 +222,11 @@ analog.define("weeks", ("intervals", "slots", "smooth"), _weeks_sql(104))
 def weekly_sequence(spark, sf):
     """Every channel of every week, folded to one checksum per channel and reading (weighted by the week number)."""
     rows = weekly(spark, sf).where(F.col("weeks").isNotNull())
-
-    def total(channel, weighted=True):
-        w = F.transform("weeks", lambda x, i: x[channel] * i if weighted else x[channel])
-        return F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-
-    return rounded(rows.select(
-        "entity", "date", F.size("weeks").cast("long").alias("weeks"), total("rain_mm", False).alias("rain_mm"),
-        *[total(c).alias(c) for c in CHANNELS[1:]], total("rain_mm").alias("rain_by_week")), rain_anom_mm=4)
+    long = rows.select("entity", "date", F.posexplode("weeks").alias("k", "w")).select("entity", "date", "k", "w.*")
+    return rounded(long.groupBy("entity", "date").agg(
+        F.count(F.lit(1)).alias("weeks"), F.sum("rain_mm").alias("rain_mm"),
+        *[F.sum(F.col(c) * F.col("k")).alias(c) for c in CHANNELS[1:]],
+        F.sum(F.col("rain_mm") * F.col("k")).alias("rain_by_week")), rain_anom_mm=4)
 
 
 @query("sequence_by_week", sql(["weeks", "intervals"], f"""SELECT split, week, count(*) AS rows,
@@ -245,7 +251,7 @@ def interval_self_check(spark, sf):
 {R('stddev_pop(sign(rain_anom_mm) * ln(1 + abs(rain_anom_mm)))')} AS rain_anom_mm_std
 FROM weeks JOIN intervals USING (entity, date) WHERE split = 'train'"""))
 def channel_stats(spark, sf):
-    return rounded(encode.channel_stats(weekly(spark, sf).where(analog.is_train())))
+    return rounded(encode.channel_stats(cell_weekly(spark, sf).where(analog.is_train())))
 
 
 analog.define("squashed", ("weeks", "intervals"), """SELECT split, week, ln(1 + greatest(rain_mm, 0)) AS a,
@@ -268,14 +274,14 @@ def scaled_channels(spark, sf):
 @query("rain_scaling", sql(["weeks"], f"""SELECT week, {R('avg(rain_mm * 1.2)')} AS rain_mm,
 {R('avg(rain_anom_mm + 0.2 * rain_mm)')} AS rain_anom_mm, {R('avg(wet_frac)')} AS wet_frac FROM weeks GROUP BY 1"""))
 def rain_scaling(spark, sf):
-    rows = weekly(spark, sf).select(F.posexplode(sequences.scale_rain(F.col("weeks"), 1.2)).alias("week", "w"))
+    rows = cell_weekly(spark, sf).select(F.posexplode(sequences.scale_rain(F.col("weeks"), 1.2)).alias("week", "w"))
     return rounded(rows.groupBy("week").agg(*[F.avg(f"w.{c}").alias(c)
                                               for c in ("rain_mm", "rain_anom_mm", "wet_frac")]))
 
 
 @query("week_mean_array", sql(["weeks"], f"SELECT week AS pos, {R('avg(rain_mm)')} AS mean, count(*) AS rows FROM weeks GROUP BY 1"))
 def week_mean_array(spark, sf):
-    rows = weekly(spark, sf).select(F.transform("weeks", lambda w: w["rain_mm"]).alias("a"))
+    rows = cell_weekly(spark, sf).select(F.col("weeks.rain_mm").alias("a"))
     return rounded(aggregates.array_means(rows, "a"))
 
 
@@ -283,8 +289,8 @@ def week_mean_array(spark, sf):
 sum(rain_mm) AS rain_mm FROM weeks WHERE week >= 52 GROUP BY 1, 2, 3"""))
 def patches(spark, sf):
     from ..functions.arrays import keep_last, patches as cut
-    last = keep_last(F.transform("weeks", lambda w: w["rain_mm"]), 52)
-    rows = weekly(spark, sf).where(F.col("weeks").isNotNull())
+    last = keep_last(F.col("weeks.rain_mm"), 52)
+    rows = cell_weekly(spark, sf).where(F.col("weeks").isNotNull())
     long = rows.select("entity", "date", F.posexplode(cut(last, 4, 13)).alias("patch", "p"))
     return long.select("entity", "date", "patch", F.aggregate("p", F.lit(0.0), lambda a, v: a + v).alias("rain_mm"))
 

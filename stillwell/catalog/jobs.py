@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import dates
 from ..operators import aggregates, series
 from ..plans import attribution, expected, features, forecast, review, scenario, sequences
+from ..session import cut_lineage
 from . import analog
 from .analog import define, sql
 from .registry import R, query, r, rounded
@@ -344,9 +345,10 @@ define("steps", ("regular_x", "lines"), """SELECT cell, year, season, shift::INT
 
 
 def tables(spark, sf):
+    """The step table, written out once for the jobs that look steps up."""
     rows = analog.with_driver(spark, sf, "interval_mm")
     spans = forecast.regular_intervals(analog.packed(spark, sf), analog.FIRST_YEAR, analog.LAST_YEAR)
-    return forecast.step_table(spans, analog.lines(rows))
+    return cut_lineage(forecast.step_table(spans, analog.lines(rows)))
 
 
 @query("regular_intervals", sql(["regular_x"], "SELECT cell, year, season, date, prev_date, interval_mm FROM regular_x"))
@@ -389,7 +391,7 @@ def regular_residuals(spark, sf, table=None):
 
 def group_rates_of(spark, sf, table=None, years=HELD):
     rows = regular_residuals(spark, sf, table).where(F.col("season_year").between(*years))
-    return attribution.rates(rows, analog.entities(spark, sf))
+    return cut_lineage(attribution.rates(rows, analog.entities(spark, sf)))
 
 
 @query("regular_residuals", sql(["regular_residuals"], f"SELECT entity, season, season_year, {R('residual')} AS residual FROM regular_residuals"))

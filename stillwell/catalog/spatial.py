@@ -29,16 +29,17 @@ def corner_weights(spark, sf):
     return rounded(weights(spark, sf))
 
 
-@query("masked_bilinear", sql(["corners", "sparse_driver"], f"""SELECT entity, count(*) AS days, count(v) AS known, {R('sum(v)', 4)} AS total,
-{R('sum(v * (date - DATE \'1995-01-01\'))', 1)} AS weighted FROM (SELECT entity, date, CASE WHEN sum(CASE WHEN mm IS NULL THEN 0 ELSE w END) > 1e-6 THEN
+@query("masked_bilinear", sql(["corners", "sparse_driver"], f"""SELECT entity, count(*) AS days, count(v) AS known, {R('avg(v)')} AS mean,
+{R('avg(v * (date - DATE \'1995-01-01\') / 1000.0)')} AS weighted FROM (SELECT entity, date, CASE WHEN sum(CASE WHEN mm IS NULL THEN 0 ELSE w END) > 1e-6 THEN
 sum(mm * w) / sum(CASE WHEN mm IS NULL THEN 0 ELSE w END) END AS v FROM corners JOIN sparse_driver USING (cell) GROUP BY 1, 2) GROUP BY 1"""))
 def masked_bilinear(spark, sf):
     """Daily driver at every customer from its four corner cells, empty days missing; two checksums per customer."""
-    daily = spatial.masked_bilinear(weights(spark, sf), analog.driver(spark, sf, fill=None), "entity", "mm", "v")
+    quads = spatial.quad_days(analog.cells(spark, sf), analog.driver(spark, sf, fill=None), "mm", 5, 5)
+    daily = spatial.masked_bilinear(analog.entities(spark, sf), "entity", quads, "v", **GRID, n_lat=5, n_lon=5)
     day = F.datediff("date", F.to_date(F.lit(analog.FIRST_DAY)))
     return rounded(daily.groupBy("entity").agg(
-        F.count(F.lit(1)).alias("days"), F.count("v").alias("known"), F.sum("v").alias("total"),
-        F.sum(F.col("v") * day).alias("weighted")), total=4, weighted=1)
+        F.count(F.lit(1)).alias("days"), F.count("v").alias("known"), F.avg("v").alias("mean"),
+        F.avg(F.col("v") * day / 1000).alias("weighted")))
 
 
 analog.define("monthly_sparse", ("sparse_driver",), """SELECT cell, date_trunc('month', date)::DATE AS month, sum(coalesce(mm, 0)) AS mm,
@@ -77,8 +78,8 @@ def radius_mean(spark, sf):
 
 
 def _bilinear_months(spark, sf):
-    months = _monthly(spark, sf).withColumnRenamed("month", "date")
-    return spatial.masked_bilinear(weights(spark, sf), months, "entity", "mm", "mm").withColumnRenamed("date", "month")
+    quads = spatial.quad_days(analog.cells(spark, sf), _monthly(spark, sf), "mm", 5, 5, date="month")
+    return spatial.masked_bilinear(analog.entities(spark, sf), "entity", quads, "mm", **GRID, n_lat=5, n_lon=5, date="month")
 
 
 @query("method_comparison", sql(["corners", "nearest", "buffer_80", "monthly_sparse"], f"""WITH b AS (SELECT entity, month, sum(mm * w) AS mm FROM corners JOIN monthly_sparse USING (cell) GROUP BY 1, 2),

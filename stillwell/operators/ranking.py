@@ -12,6 +12,8 @@ from itertools import pairwise
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 
 def range_splits(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
     """Increasing split points of ``value`` for about ``ranges`` equal parts; a short list of numbers."""
@@ -31,16 +33,21 @@ def with_range(df: DataFrame, value: str, splits: list[float], name: str = "_ran
         name, F.col(name).cast("int"))
 
 
-def cumulative_counts(df: DataFrame, keys: list[str], value: str, ranges: int | None = None) -> DataFrame:
-    """One row per distinct ``(keys, value)``: its count, the rows before it and the rows of its group.
+def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Distinct ``(keys, value)`` with ``rows``, written out once: the steps after it read it several times."""
+    known = df.where(F.col(value).isNotNull())
+    return cut_lineage(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows")))
+
 
-    Columns: keys, value, ``rows``, ``before``, ``total``. Nulls are left out.
+def cumulative_counts(counted: DataFrame, keys: list[str], value: str, ranges: int | None = None) -> DataFrame:
+    """Adds to counted values the rows ``before`` each one in its group and the group's ``total``.
+
+    ``counted`` has one row per ``(keys, value)`` with ``rows``. Ranges split distinct values, so a value that
+    half of all rows share is still one row here.
     """
-    known = df.where(F.col(value).isNotNull()).select(*keys, value)
-    counted = with_range(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows")),
-                         value, range_splits(known, value, ranges))
+    cut = with_range(counted.select(*keys, value, "rows"), value, range_splits(counted, value, ranges))
     # at most one row per group and range, so these windows stay small
-    per_range = counted.groupBy(*keys, "_range").agg(F.sum("rows").alias("_in_range"))
+    per_range = cut.groupBy(*keys, "_range").agg(F.sum("rows").alias("_in_range"))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
     per_range = per_range.select(
         *keys, "_range",
@@ -48,21 +55,25 @@ def cumulative_counts(df: DataFrame, keys: list[str], value: str, ranges: int |
                    F.lit(0)).alias("_start"),
         F.sum("_in_range").over(group).alias("total"))
     inside = W.partitionBy(*keys, "_range").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
-    return (counted.withColumn("_before", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
+    return (cut.withColumn("_before", F.coalesce(F.sum("rows").over(inside), F.lit(0)))
             .join(per_range, [*keys, "_range"])
             .select(*keys, value, "rows", (F.col("_start") + F.col("_before")).alias("before"), "total"))
 
 
+def _average_rank() -> Column:
+    return F.col("before") + (F.col("rows") + 1) / 2
+
+
 def average_ranks(df: DataFrame, keys: list[str], value: str, name: str, ranges: int | None = None) -> DataFrame:
     """Average rank (ties share the mean of their places) of each distinct ``(keys, value)``."""
-    return cumulative_counts(df, keys, value, ranges).select(
-        *keys, value, (F.col("before") + (F.col("rows") + 1) / 2).alias(name))
+    ordered = cumulative_counts(counted_values(df, keys, value), keys, value, ranges)
+    return ordered.select(*keys, value, _average_rank().alias(name))
 
 
 def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities: dict[str, float],
                       ranges: int | None = None) -> DataFrame:
     """Linearly interpolated percentiles per group: one column per ``{name: probability}``."""
-    ordered = cumulative_counts(df, keys, value, ranges)
+    ordered = cumulative_counts(counted_values(df, keys, value), keys, value, ranges)
 
     def at(place: Column) -> Column:
         here = (F.col("before") <= place) & (place < F.col("before") + F.col("rows"))
@@ -80,10 +91,14 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities:
 
 def spearman(df: DataFrame, x: str, y: str, name: str = "spearman", ranges: int | None = None) -> DataFrame:
     """Rank correlation of two columns over the rows where both are known (average ranks for ties)."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("_n"))
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = (pairs.join(average_ranks(known, [], x, "_rx", ranges), x)
-              .join(average_ranks(known, [], y, "_ry", ranges), y))
+    pairs = cut_lineage(known.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")))
+
+    def ranks(value: str, out: str) -> DataFrame:
+        counted = pairs.groupBy(value).agg(F.sum("_n").alias("rows"))
+        return cumulative_counts(counted, [], value, ranges).select(value, _average_rank().alias(out))
+
+    ranked = pairs.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y)
     n = F.sum("_n")
     mean = (n + 1) / 2            # every set of average ranks has this mean
     dx, dy = F.sum(F.col("_n") * F.col("_rx") * F.col("_ry")), F.sum(F.col("_n") * F.col("_rx") * F.col("_rx"))

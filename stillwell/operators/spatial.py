@@ -20,20 +20,46 @@ def corner_weights(points: DataFrame, key: str, cells: DataFrame, lat0: float, l
             .join(cells.select("cell", "row", "col"), ["row", "col"]).select(key, "cell", "weight"))
 
 
-def masked_bilinear(weights: DataFrame, daily: DataFrame, key: str, value: str, name: str,
-                    date: str = "date") -> DataFrame:
-    """Daily value at each point from its corner cells, weights renormalised over the cells known that day.
+def quad_days(cells: DataFrame, daily: DataFrame, value: str, n_lat: int, n_lon: int, date: str = "date") -> DataFrame:
+    """The four values around every grid square and day: ``(row, col, date, v00, v01, v10, v11)``.
 
-    Days where the known weight is not above the cut-off are null. Both sides are cut by year, so a cell that
+    A square is named by its lower-left node. The table grows with the grid and the calendar, not with the points
+    that read it. Squares without any cell are absent; a missing value or cell is null.
+    """
+    roles = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r in (0, 1) for c in (0, 1)])
+    corner = daily.join(cells.select("cell", "row", "col"), "cell").withColumn("_o", F.explode(roles)).select(
+        (F.col("row") - F.col("_o.r")).alias("row"), (F.col("col") - F.col("_o.c")).alias("col"), date, value, "_o")
+    inside = corner.where(F.col("row").between(0, n_lat - 2) & F.col("col").between(0, n_lon - 2))
+    return inside.groupBy("row", "col", date).agg(*[
+        F.max(F.when((F.col("_o.r") == r) & (F.col("_o.c") == c), F.col(value))).alias(f"v{r}{c}")
+        for r in (0, 1) for c in (0, 1)])
+
+
+def masked_bilinear(points: DataFrame, key: str, quads: DataFrame, name: str, lat0: float, lon0: float, step: float,
+                    n_lat: int, n_lon: int, date: str = "date") -> DataFrame:
+    """Daily value at each point from its four corners, weights renormalised over the corners known that day.
+
+    Days where the known weight is not above the cut-off are null. All corners of a day arrive in one row, so the
+    only work per point and day is the join that produces it. Both sides are cut by year as well, so a square that
     holds many points is spread over as many tasks as the record has years.
     """
-    years = (daily.groupBy("cell").agg(F.year(F.min(date)).alias("a"), F.year(F.max(date)).alias("b")))
-    cut = weights.join(years, "cell").select(key, "cell", "weight", F.explode(F.sequence("a", "b")).alias("_year"))
-    rows = cut.join(daily.select("cell", date, value, F.year(date).alias("_year")), ["cell", "_year"])
-    known = F.when(F.col(value).isNotNull(), F.col("weight")).otherwise(F.lit(0.0))
-    sums = rows.groupBy(key, date).agg(F.sum(known).alias("_den"),
-                                       F.sum(F.coalesce(F.col(value), F.lit(0.0)) * known).alias("_num"))
-    return sums.select(key, date, F.when(F.col("_den") > MIN_CORNER_WEIGHT, F.col("_num") / F.col("_den")).alias(name))
+    corners = geometry.bilinear_corners(F.col("lat"), F.col("lon"), lat0, lon0, step, n_lat, n_lon)
+    bounds = quads.agg(F.min(F.year(date)).alias("a"), F.max(F.year(date)).alias("b")).first()
+    if bounds["a"] is None:
+        bounds = {"a": 0, "b": 0}
+    placed = points.select(key, corners.alias("_c")).select(
+        key, F.col("_c")[0]["row"].alias("row"), F.col("_c")[0]["col"].alias("col"),
+        *[F.col("_c")[i]["weight"].alias(f"w{n}") for i, n in enumerate(("00", "01", "10", "11"))],
+        F.explode(F.sequence(F.lit(bounds["a"]), F.lit(bounds["b"]))).alias("_year"))
+    joined = placed.join(quads.withColumn("_year", F.year(date)), ["row", "col", "_year"])
+    corners4 = ("00", "01", "10", "11")
+
+    def total(terms: list[Column]) -> Column:
+        return terms[0] + terms[1] + terms[2] + terms[3]
+
+    den = total([F.when(F.col(f"v{n}").isNotNull(), F.col(f"w{n}")).otherwise(F.lit(0.0)) for n in corners4])
+    num = total([F.coalesce(F.col(f"v{n}") * F.col(f"w{n}"), F.lit(0.0)) for n in corners4])
+    return joined.select(key, date, F.when(den > MIN_CORNER_WEIGHT, num / den).alias(name))
 
 
 def nearest_cell(points: DataFrame, cells: DataFrame, lat0: float, lon0: float, step: float) -> DataFrame:

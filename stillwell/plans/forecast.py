@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions import dates
 from ..functions.constants import SEASONS, SHIFTS_PCT, SKILL_YEARS
 from ..operators import series, windows
+from ..session import cut_lineage
 from . import expected
 from .scenario import steps_table
 
@@ -92,7 +93,9 @@ def mean_paths(start: DataFrame, table: DataFrame, future: DataFrame, rate: Data
     Means over entities are taken before the running total; the two commute, and only one row per replay step
     is left to chain instead of one per entity.
     """
-    weights = start.groupBy("cell", "grp", "state").agg(F.count(F.lit(1)).alias("_w"))
+    # what the paths need of the starts is one row per cell and group; it is read three times below
+    weights = cut_lineage(start.groupBy("cell", "grp", "state").agg(
+        F.count(F.lit(1)).alias("_w"), F.sum("base").alias("_b"), F.sum("base_trend").alias("_t")))
     by_cell = weights.groupBy("cell").agg(F.sum("_w").alias("_w"))
     mean_step = table.join(by_cell, "cell").groupBy(F.col("year").alias("replay"), "season").agg(
         (F.sum(F.col("step") * F.col("_w")) / F.sum("_w")).alias("_step"))
@@ -102,7 +105,7 @@ def mean_paths(start: DataFrame, table: DataFrame, future: DataFrame, rate: Data
         mean_rate = rate.join(weights, ["grp", "state"]).groupBy("season").agg(
             (F.sum(F.col("rate") * F.col("_w")) / F.sum("_w")).alias("_rate"))
         steps = future.join(mean_step, ["replay", "season"]).join(mean_rate, "season")
-    levels = start.agg(F.avg("base").alias("b"), F.avg("base_trend").alias("t"))
+    levels = weights.agg((F.sum("_b") / F.sum("_w")).alias("b"), (F.sum("_t") / F.sum("_w")).alias("t"))
     along = W.partitionBy("member").orderBy("step_no").rowsBetween(W.unboundedPreceding, W.currentRow)
     return steps.select(
         "member", "step_no", "year", "season",
