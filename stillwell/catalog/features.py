@@ -191,13 +191,13 @@ def packed_weeks(spark, sf, daily=None):
     return sequences.pack_weeks(recorded if daily is None else daily, normals)
 
 
-def weekly(spark, sf, daily=None):
-    return sequences.attach_weeks(analog.intervals(spark, sf), packed_weeks(spark, sf, daily))
+def cell_weekly(spark, sf, daily=None):
+    return sequences.attach_cell_weeks(analog.intervals(spark, sf), packed_weeks(spark, sf, daily))
 
 
-def cell_weekly(spark, sf):
-    """Without the reading's own channel: what most summaries need."""
-    return sequences.attach_cell_weeks(analog.intervals(spark, sf), packed_weeks(spark, sf))
+def weekly(spark, sf, keep, daily=None):
+    """Long form of the sequences: a row per reading and week."""
+    return sequences.week_rows(cell_weekly(spark, sf, daily), keep)
 
 
 def _weeks_sql(weeks: int) -> str:
@@ -221,28 +221,32 @@ analog.define("weeks", ("intervals", "slots", "smooth"), _weeks_sql(104))
 {R('sum(rain_mm * week)')} AS rain_by_week FROM weeks GROUP BY 1, 2"""))
 def weekly_sequence(spark, sf):
     """Every channel of every week, folded to one checksum per channel and reading (weighted by the week number)."""
-    rows = weekly(spark, sf).where(F.col("weeks").isNotNull())
-    long = rows.select("entity", "date", F.posexplode("weeks").alias("k", "w")).select("entity", "date", "k", "w.*")
+    long = weekly(spark, sf, ["entity", "date"])
     return rounded(long.groupBy("entity", "date").agg(
         F.count(F.lit(1)).alias("weeks"), F.sum("rain_mm").alias("rain_mm"),
-        *[F.sum(F.col(c) * F.col("k")).alias(c) for c in CHANNELS[1:]],
-        F.sum(F.col("rain_mm") * F.col("k")).alias("rain_by_week")), rain_anom_mm=4)
+        *[F.sum(F.col(c) * F.col("week")).alias(c) for c in CHANNELS[1:]],
+        F.sum(F.col("rain_mm") * F.col("week")).alias("rain_by_week")), rain_anom_mm=4)
 
 
 @query("sequence_by_week", sql(["weeks", "intervals"], f"""SELECT split, week, count(*) AS rows,
 {R('avg(rain_mm)')} AS rain_mm, {R('avg(in_interval)')} AS in_interval, {R('avg(rain_anom_mm)')} AS rain_anom_mm,
 {R('avg(wet_frac)')} AS wet_frac FROM weeks JOIN intervals USING (entity, date) GROUP BY 1, 2"""))
 def sequence_by_week(spark, sf):
-    rows = weekly(spark, sf).select("split", F.posexplode("weeks").alias("week", "w"))
-    return rounded(rows.groupBy("split", "week").agg(
-        F.count(F.lit(1)).alias("rows"), *[F.avg(f"w.{c}").alias(c)
-                                           for c in ("rain_mm", "in_interval", "rain_anom_mm", "wet_frac")]))
+    return rounded(weekly(spark, sf, ["split"]).groupBy("split", "week").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.avg(c).alias(c) for c in ("rain_mm", "in_interval", "rain_anom_mm", "wet_frac")]))
+
+
+@query("channel_summary", sql(["weeks"], " UNION ALL ".join(
+    f"SELECT '{c}' AS channel, {R(f'avg({c})')} AS mean, {R(f'stddev_pop({c})', 4)} AS std, {R(f'min({c})')} AS min, {R(f'max({c})')} AS max FROM weeks"
+    for c in CHANNELS)))
+def channel_summary(spark, sf):
+    return rounded(quality.channel_summary(weekly(spark, sf, []), CHANNELS), std=4)
 
 
 @query("interval_self_check", sql(["weeks", "intervals"], """SELECT 0.0::DOUBLE AS largest, count(*) AS rows FROM
 (SELECT DISTINCT entity, date FROM weeks)"""))
 def interval_self_check(spark, sf):
-    return rounded(sequences.interval_mismatch(weekly(spark, sf)))
+    return rounded(sequences.interval_mismatch(sequences.attach_weeks(cell_weekly(spark, sf))))
 
 
 @query("channel_stats", sql(["weeks", "intervals"], f"""SELECT {R('avg(ln(1 + greatest(rain_mm, 0)))')} AS rain_mm_mean,
@@ -251,7 +255,7 @@ def interval_self_check(spark, sf):
 {R('stddev_pop(sign(rain_anom_mm) * ln(1 + abs(rain_anom_mm)))')} AS rain_anom_mm_std
 FROM weeks JOIN intervals USING (entity, date) WHERE split = 'train'"""))
 def channel_stats(spark, sf):
-    return rounded(encode.channel_stats(cell_weekly(spark, sf).where(analog.is_train())))
+    return rounded(encode.channel_stats(weekly(spark, sf, ["split"]).where(analog.is_train())))
 
 
 analog.define("squashed", ("weeks", "intervals"), """SELECT split, week, ln(1 + greatest(rain_mm, 0)) AS a,
@@ -263,20 +267,17 @@ analog.define("squashed", ("weeks", "intervals"), """SELECT split, week, ln(1 +
 FROM squashed v, (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb FROM squashed
 WHERE split = 'train') GROUP BY 1, 2"""))
 def scaled_channels(spark, sf):
-    rows = weekly(spark, sf).where(F.col("weeks").isNotNull())
+    rows = weekly(spark, sf, ["split"])
     stats = encode.channel_stats(rows.where(analog.is_train())).first().asDict()
-    long = encode.scale_channels(rows, stats, CHANNELS).select("split", F.posexplode("weeks").alias("week", "w"))
-    return rounded(long.groupBy("split", "week").agg(
-        F.count(F.lit(1)).alias("rows"), F.avg("w.rain_mm").alias("rain_mm"),
-        F.avg("w.rain_anom_mm").alias("rain_anom_mm")))
+    return rounded(encode.scale_channels(rows, stats, CHANNELS).groupBy("split", "week").agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("rain_mm").alias("rain_mm"), F.avg("rain_anom_mm").alias("rain_anom_mm")))
 
 
 @query("rain_scaling", sql(["weeks"], f"""SELECT week, {R('avg(rain_mm * 1.2)')} AS rain_mm,
 {R('avg(rain_anom_mm + 0.2 * rain_mm)')} AS rain_anom_mm, {R('avg(wet_frac)')} AS wet_frac FROM weeks GROUP BY 1"""))
 def rain_scaling(spark, sf):
-    rows = cell_weekly(spark, sf).select(F.posexplode(sequences.scale_rain(F.col("weeks"), 1.2)).alias("week", "w"))
-    return rounded(rows.groupBy("week").agg(*[F.avg(f"w.{c}").alias(c)
-                                              for c in ("rain_mm", "rain_anom_mm", "wet_frac")]))
+    return rounded(sequences.scale_rain(weekly(spark, sf, []), 1.2).groupBy("week").agg(
+        *[F.avg(c).alias(c) for c in ("rain_mm", "rain_anom_mm", "wet_frac")]))
 
 
 @query("week_mean_array", sql(["weeks"], f"SELECT week AS pos, {R('avg(rain_mm)')} AS mean, count(*) AS rows FROM weeks GROUP BY 1"))

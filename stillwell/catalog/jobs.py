@@ -233,9 +233,8 @@ define("edited_weeks", ("intervals", "edited", "slots", "smooth"), """SELECT CAS
 def edited_channels(spark, sf):
     """Channels rebuilt from the edited driver; the normals stay those of the recorded one."""
     from .features import weekly
-    rows = weekly(spark, sf, scenario.edited_driver(analog.driver(spark, sf), EDITS))
-    long = rows.select(F.posexplode("weeks").alias("week", "w"))
-    return rounded(long.groupBy("week").agg(*[F.avg(f"w.{c}").alias(c) for c in ("rain_mm", "rain_anom_mm", "wet_frac")]))
+    rows = weekly(spark, sf, [], scenario.edited_driver(analog.driver(spark, sf), EDITS))
+    return rounded(rows.groupBy("week").agg(*[F.avg(c).alias(c) for c in ("rain_mm", "rain_anom_mm", "wet_frac")]))
 
 
 define("regular_days", (), """SELECT make_date(y, m, 15) AS date, y::INT AS year, s AS season, CAST(make_date(y, m, 15) - to_months(b) AS DATE) AS prev_date

@@ -17,32 +17,27 @@ def squash(channel: str, v: Column) -> Column:
     return signed_log(v) if channel == SIGNED_LOG_CHANNEL else v
 
 
-def channel_stats(rows: DataFrame, weeks: str = "weeks") -> DataFrame:
+def channel_stats(week_rows: DataFrame) -> DataFrame:
     """Mean and population standard deviation of the squashed rain channels over all weeks: one row."""
-    long = rows.select(F.explode(weeks).alias("w"))
     parts = []
     for c in (LOG_CHANNEL, SIGNED_LOG_CHANNEL):
-        v = squash(c, F.col(f"w.{c}"))
+        v = squash(c, F.col(c))
         parts += [F.avg(v).alias(f"{c}_mean"), F.greatest(F.stddev_pop(v), F.lit(1e-6)).alias(f"{c}_std")]
-    return long.agg(*parts)
+    return week_rows.agg(*parts)
 
 
-def scale_channels(rows: DataFrame, stats: dict[str, float], channels: list[str], weeks: str = "weeks") -> DataFrame:
+def scale_channels(week_rows: DataFrame, stats: dict[str, float], channels: list[str]) -> DataFrame:
     """Scaled channels: squashed and standardised rain, the others as they are, non-finite values 0.
 
     ``stats`` is the row of :func:`channel_stats` as a dict, from this or an earlier run.
     """
-    def one(w: Column) -> Column:
-        fields = []
-        for c in channels:
-            v = squash(c, w[c])
-            if c in (LOG_CHANNEL, SIGNED_LOG_CHANNEL):
-                v = (v - F.lit(stats[f"{c}_mean"])) / F.lit(stats[f"{c}_std"])
-            finite = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
-            fields.append(F.when(finite, v).otherwise(F.lit(0.0)).alias(c))
-        return F.struct(*fields)
-
-    return rows.withColumn(weeks, F.transform(weeks, one))
+    def one(c: str) -> Column:
+        v = squash(c, F.col(c))
+        if c in (LOG_CHANNEL, SIGNED_LOG_CHANNEL):
+            v = (v - F.lit(stats[f"{c}_mean"])) / F.lit(stats[f"{c}_std"])
+        return F.when(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")), v).otherwise(F.lit(0.0))
+
+    return week_rows.withColumns({c: one(c) for c in channels})
 
 
 def numeric_stats(rows: DataFrame, columns: list[str], train: Column) -> DataFrame:

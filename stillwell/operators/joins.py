@@ -50,8 +50,11 @@ def days_of_intervals(intervals: DataFrame, daily: DataFrame, keys: list[str], c
 def lookup_salted(facts: DataFrame, dim: DataFrame, on: list[str], salts: int, spread_by: list[str]) -> DataFrame:
     """Inner look-up that splits every key into ``salts`` parts; ``dim`` is repeated that often.
 
-    For a dimension with wide rows and few keys (packed series), where one key may own a third of the facts.
+    For a dimension with wide rows and few keys (packed series), where one key may own a third of the facts. With
+    one salt it is the plain join, which Spark splits by itself when it meets a skewed key.
     """
+    if salts == 1:
+        return facts.join(dim, on)
     salted = facts.withColumn("_salt", F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int"))
     repeated = dim.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(repeated, [*on, "_salt"]).drop("_salt")

@@ -39,7 +39,8 @@ def build_report(rows: DataFrame, entity: str, target: str) -> DataFrame:
         F.stddev_samp(target).alias("std")).withColumn("split", F.coalesce("split", F.lit("all")))
 
 
-def channel_summary(rows: DataFrame, channels: list[str], weeks: str = "weeks") -> DataFrame:
-    long = rows.select(F.explode(weeks).alias("w")).select("w.*").unpivot([], channels, "channel", "v")
+def channel_summary(week_rows: DataFrame, channels: list[str]) -> DataFrame:
+    """Mean, spread and range of every channel."""
+    long = week_rows.select(*channels).unpivot([], channels, "channel", "v")
     return long.groupBy("channel").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"),
                                        F.min("v").alias("min"), F.max("v").alias("max"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import geometry
 from ..functions.constants import KM_PER_DEGREE, MIN_CORNER_WEIGHT
+from ..session import cut_lineage
 
 
 def corner_weights(points: DataFrame, key: str, cells: DataFrame, lat0: float, lon0: float, step: float,
@@ -146,23 +148,27 @@ def polygon_or_nearest(points: DataFrame, key: str, polygons: DataFrame, polygon
     """The covering polygon, else the nearest one; points beyond ``cutoff`` are left out.
 
     Unplaced points look for polygons within one tile, then two, then four and so on: a polygon found within the
-    reach searched is the true nearest. Each round only sees the points the rounds before left over.
+    reach searched is the true nearest. Each round only sees the points the rounds before left over, and is written
+    out so that the next one does not repeat it. Distances equal to nine digits go to the first polygon by name.
     """
-    placed = inside_polygon(points, key, polygons, polygon, tile).withColumn("distance", F.lit(0.0))
+    left = points.select(key, "lat", "lon")
+    found = [cut_lineage(inside_polygon(left, key, polygons, polygon, tile).withColumn("distance", F.lit(0.0)))]
     reach = tile if cutoff is None else cutoff
     last = farthest if cutoff is None else cutoff
     while True:
-        left = points.select(key, "lat", "lon").join(placed.select(key), key, "left_anti")
+        left = cut_lineage(left.join(found[-1].select(key), key, "left_anti"))
+        if left.isEmpty():
+            break
         size = max(tile, reach)
         met = _on_tiles(left, size).join(_tiles(polygons, size, reach), ["_tx", "_ty"])
         measured = met.withColumn("_d", geometry.distance_to_ring(F.col("ring"), F.col("lon"), F.col("lat")))
-        best = measured.where(F.col("_d") <= reach).groupBy(key).agg(
-            F.min(F.struct(F.col("_d"), F.col(polygon))).alias("_b"))
-        placed = placed.unionByName(best.select(key, F.col(f"_b.{polygon}").alias(polygon),
-                                                F.col("_b._d").alias("distance")))
+        best = measured.where(F.col("_d") <= reach).groupBy(key).agg(F.min(F.struct(
+            F.round("_d", 9).alias("near"), F.col(polygon), F.col("_d"))).alias("_b"))
+        found.append(cut_lineage(best.select(key, F.col(f"_b.{polygon}").alias(polygon), F.col("_b._d").alias("distance"))))
         if reach >= last:
-            return placed
+            break
         reach = min(reach * 2, last)
+    return reduce(DataFrame.unionByName, found)
 
 
 def clip_to_polygons(features: DataFrame, key: str, polygons: DataFrame, polygon: str, keep: Column,

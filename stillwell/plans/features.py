@@ -6,11 +6,12 @@ row lags and history sums then run over the surviving rows only. Normals come la
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.constants import GAP_DAYS, HEAVY_MM, TRAILING_DAYS, WET_MM
 from ..functions.numbers import ratio_at_least_one, ratio_or_null
 from ..operators import cleaning, series, windows
+from ..operators.joins import lookup_salted
 
 
 def changes(readings: DataFrame, largest: float | None = None, gap: tuple[int, int] = GAP_DAYS) -> DataFrame:
@@ -41,11 +42,13 @@ def driver_features(date: Column, previous: Column, gap: Column) -> dict[str, Co
     }
 
 
-def attach_driver(rows: DataFrame, packed: DataFrame, only: list[str] | None = None, cell: str = "cell") -> DataFrame:
+def attach_driver(rows: DataFrame, packed: DataFrame, only: list[str] | None = None, cell: str = "cell",
+                  salts: int = 1) -> DataFrame:
     """Driver features of each row from one equi-join on the cell; the arrays go no further."""
     features = driver_features(F.col("date"), F.col("prev_date"), F.col("gap"))
     chosen = {n: c for n, c in features.items() if only is None or n in only}
-    return rows.join(packed, cell).select(*rows.columns, *[c.alias(n) for n, c in chosen.items()])
+    joined = lookup_salted(rows, packed, [cell], salts, ["entity", "date"])
+    return joined.select(*rows.columns, *[c.alias(n) for n, c in chosen.items()])
 
 
 def history(rows: DataFrame, value: str = "interval_mm") -> DataFrame:
@@ -53,13 +56,17 @@ def history(rows: DataFrame, value: str = "interval_mm") -> DataFrame:
     return windows.prior_sums(windows.row_lags(rows, value, [1, 2, 3]), value, [4, 8, 12])
 
 
-def normals(rows: DataFrame, train: Column) -> list[tuple[DataFrame, list[str]]]:
-    """Training-row means with the keys to attach them by."""
-    of = rows.where(train)
-    entity = of.groupBy("entity").agg(F.avg("mm_365d").alias("normal_annual_mm"),
-                                      F.avg("monsoon_mm").alias("normal_monsoon_mm"))
-    season = of.groupBy("entity", "season").agg(F.avg("interval_mm").alias("normal_season_mm"))
-    return [(entity, ["entity"]), (season, ["entity", "season"])]
+def with_normals(rows: DataFrame, train: Column) -> DataFrame:
+    """Training-row means of each entity, and of each entity and season; null where it has no training row.
+
+    The rows already sit together by entity for the lags, so these are windows over the same partitioning: no second
+    pass over the rows and no join. An entity has at most one row per day.
+    """
+    entity, season = W.partitionBy("entity"), W.partitionBy("entity", "season")
+    return rows.select(
+        "*", F.avg(F.when(train, F.col("mm_365d"))).over(entity).alias("normal_annual_mm"),
+        F.avg(F.when(train, F.col("monsoon_mm"))).over(entity).alias("normal_monsoon_mm"),
+        F.avg(F.when(train, F.col("interval_mm"))).over(season).alias("normal_season_mm"))
 
 
 def anomalies(rows: DataFrame, ratio_limit: float | None = None) -> DataFrame:
@@ -82,6 +89,5 @@ def feature_table(readings: DataFrame, entities: DataFrame, packed: DataFrame, t
     year = F.col("season_year")
     rows = rows.where(cleaning.known_years(year, train, valid, test)).withColumn(
         "split", cleaning.year_split(year, train, valid))
-    for table, keys in normals(rows, F.col("split") == "train"):
-        rows = rows.join(table, keys, "left")
+    rows = with_normals(rows, F.col("split") == "train")
     return anomalies(rows).withColumn("transition", cleaning.transition(F.col("prev_season"), F.col("season")))

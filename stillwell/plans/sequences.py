@@ -13,6 +13,7 @@ from ..functions import dates
 from ..functions.constants import SEQUENCE_WEEKS, SMOOTH_DAYS, WET_MM
 from ..functions.numbers import year_angle
 from ..operators import aggregates, windows
+from ..operators.joins import lookup_salted
 
 # channels that belong to the cell and the week; in_interval belongs to the reading
 CELL_CHANNELS = ["rain_mm", "doy_sin", "doy_cos", "rain_anom_mm", "wet_frac"]
@@ -49,9 +50,11 @@ def pack_weeks(daily: DataFrame, normals: DataFrame, value: str = "mm") -> DataF
         "_w", lambda w: F.struct(*[w[c].alias(c) for c in CELL_CHANNELS])).alias("cell_weeks"))
 
 
-def attach_cell_weeks(rows: DataFrame, packed: DataFrame, weeks: int = SEQUENCE_WEEKS, cell: str = "cell") -> DataFrame:
+def attach_cell_weeks(rows: DataFrame, packed: DataFrame, weeks: int = SEQUENCE_WEEKS, cell: str = "cell",
+                      salts: int = 1) -> DataFrame:
     """The cell's channels of the ``weeks`` weeks ending on each reading day; null unless the record covers them all."""
-    joined = rows.withColumn("weekday", weekday(F.col("date"))).join(packed, [cell, "weekday"])
+    joined = lookup_salted(rows.withColumn("weekday", weekday(F.col("date"))), packed, [cell, "weekday"], salts,
+                           ["entity", "date"])
     first = F.floor(F.datediff("date", "first_week") / 7).cast("int") - (weeks - 1)
     covered = (first >= 0) & (first + weeks <= F.size("cell_weeks"))
     return joined.select(*rows.columns, F.when(
@@ -63,9 +66,20 @@ def interval_share(gap: Column, week: Column, weeks: int = SEQUENCE_WEEKS) -> Co
     return F.greatest(F.lit(0), F.least(gap - (F.lit(weeks - 1) - week) * 7, F.lit(7))) / F.lit(7.0)
 
 
-def attach_weeks(rows: DataFrame, packed: DataFrame, weeks: int = SEQUENCE_WEEKS, cell: str = "cell") -> DataFrame:
-    """All six channels as one array of structs."""
-    with_cell = attach_cell_weeks(rows, packed, weeks, cell)
+def week_rows(with_cell: DataFrame, keep: list[str], weeks: int = SEQUENCE_WEEKS) -> DataFrame:
+    """Long form: one row per reading and week with the columns of ``keep``, ``week`` from 0 and all six channels.
+
+    ``with_cell`` comes from :func:`attach_cell_weeks`; readings it does not cover give no rows. Everything here is
+    compiled into the stage of the join, so this is the form to aggregate from.
+    """
+    long = with_cell.select(*keep, "gap", F.posexplode("weeks").alias("week", "_w"))
+    return long.select(*keep, "week", F.col("_w.rain_mm").alias("rain_mm"),
+                       interval_share(F.col("gap"), F.col("week"), weeks).alias("in_interval"),
+                       *[F.col(f"_w.{c}").alias(c) for c in CELL_CHANNELS[1:]])
+
+
+def attach_weeks(with_cell: DataFrame, weeks: int = SEQUENCE_WEEKS) -> DataFrame:
+    """Stored form: all six channels of a reading as one array of structs."""
     return with_cell.withColumn("weeks", F.transform("weeks", lambda w, i: F.struct(
         w["rain_mm"].alias("rain_mm"), interval_share(F.col("gap"), i, weeks).alias("in_interval"),
         *[w[c].alias(c) for c in CELL_CHANNELS[1:]])))
@@ -78,8 +92,8 @@ def interval_mismatch(rows: DataFrame, weeks: int = SEQUENCE_WEEKS) -> DataFrame
     return covered.agg(F.max(F.abs(days - F.col("gap"))).alias("largest"), F.count(F.lit(1)).alias("rows"))
 
 
-def scale_rain(weeks: Column, factor: Column | float) -> Column:
+def scale_rain(week_rows: DataFrame, factor: Column | float) -> DataFrame:
     """The driver of every week times ``factor``; the anomaly moves along, the other channels stay."""
     f = F.lit(factor) if isinstance(factor, (int, float)) else factor
-    return F.transform(weeks, lambda w: w.withField("rain_mm", F.greatest(w["rain_mm"], F.lit(0.0)) * f).withField(
-        "rain_anom_mm", w["rain_anom_mm"] + (f - 1) * F.greatest(w["rain_mm"], F.lit(0.0))))
+    rain = F.greatest(F.col("rain_mm"), F.lit(0.0))
+    return week_rows.withColumns({"rain_mm": rain * f, "rain_anom_mm": F.col("rain_anom_mm") + (f - 1) * rain})
