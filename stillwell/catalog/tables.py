@@ -276,14 +276,14 @@ def dense_months(spark, sf):
     return series.dense_calendar(monthly, analog.cells(spark, sf), "1995-01-01", "2001-12-01", "mm", 0.0, "month", date="month")
 
 
-@query("pack_grid", sql(["sparse_driver"], """SELECT cell, date, CAST(round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) AS SMALLINT) AS mm10
+@query("pack_grid", sql(["sparse_driver"], """SELECT cell, date, CASE WHEN mm IS NOT NULL THEN CAST(round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) AS SMALLINT) END AS mm10
 FROM sparse_driver WHERE cell IN (SELECT cell FROM sparse_driver WHERE mm IS NOT NULL)"""))
 def pack_grid(spark, sf):
     sevenths = analog.driver(spark, sf, fill=None).withColumn("mm", F.col("mm") / 7)
     return grid.pack_grid(sevenths, "mm", ("cell",))
 
 
-@query("unpack_grid", sql(["sparse_driver"], f"""SELECT cell, date, {R('round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) / 10')} AS mm FROM sparse_driver
+@query("unpack_grid", sql(["sparse_driver"], f"""SELECT cell, date, CASE WHEN mm IS NOT NULL THEN {R('round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) / 10')} END AS mm FROM sparse_driver
 WHERE cell IN (SELECT cell FROM sparse_driver WHERE mm IS NOT NULL)"""))
 def unpack_grid(spark, sf):
     packed = pack_grid(spark, sf)

@@ -18,7 +18,8 @@ def signed_log_inverse(u: Column) -> Column:
 
 
 def clip(x: Column, low: float, high: float) -> Column:
-    return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+    """Limited to ``low..high``; null stays null (``greatest`` and ``least`` alone would skip it)."""
+    return F.when(x < low, F.lit(low)).when(x > high, F.lit(high)).otherwise(x)
 
 
 def ratio_or_null(x: Column, y: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import dates
 from ..functions.constants import HEAVY_DAY_MM, WET_MM
+from ..functions.numbers import clip
 
 
 def summary(df: DataFrame, keys: list[str], value: str, entity: str = "entity") -> DataFrame:
@@ -92,7 +93,7 @@ def value_counts(before: DataFrame, after: DataFrame, column: str) -> DataFrame:
 
 def histogram(df: DataFrame, value: str, low: float, high: float, bins: int) -> DataFrame:
     """Counts per equal-width bin after clipping; the top edge belongs to the last bin."""
-    clipped = F.least(F.greatest(F.col(value), F.lit(low)), F.lit(high))
+    clipped = clip(F.col(value), low, high)
     number = F.least(F.width_bucket(clipped, F.lit(low), F.lit(high), F.lit(bins)), F.lit(bins)).cast("int")
     return df.where(F.col(value).isNotNull()).groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("rows"))
 

@@ -13,7 +13,7 @@ LOG_CHANNEL, SIGNED_LOG_CHANNEL = "rain_mm", "rain_anom_mm"
 
 def squash(channel: str, v: Column) -> Column:
     if channel == LOG_CHANNEL:
-        return F.log1p(F.greatest(v, F.lit(0.0)))
+        return F.log1p(F.when(v < 0, F.lit(0.0)).otherwise(v))
     return signed_log(v) if channel == SIGNED_LOG_CHANNEL else v
 
 

@@ -26,6 +26,8 @@ def range_splits(df: DataFrame, value: str, ranges: int | None = None) -> list[f
 
 def with_range(df: DataFrame, value: str, splits: list[float], name: str = "_range") -> DataFrame:
     """Number of the range that holds ``value``; larger values never get a smaller number."""
+    if not splits:
+        return df.withColumn(name, F.lit(0))
     bounds = [float("-inf"), *splits, float("inf")]
     assert all(a < b for a, b in pairwise(bounds)), "split points must increase"
     cut = Bucketizer(splits=bounds, inputCol="_x", outputCol=name, handleInvalid="keep")

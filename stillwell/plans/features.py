@@ -73,7 +73,7 @@ def anomalies(rows: DataFrame, ratio_limit: float | None = None) -> DataFrame:
     """Differences from the normals and the season ratio, null for a zero normal, optionally limited."""
     ratio = ratio_or_null(F.col("interval_mm"), F.col("normal_season_mm"))
     if ratio_limit is not None:
-        ratio = F.least(ratio, F.lit(ratio_limit))
+        ratio = F.when(ratio > ratio_limit, F.lit(ratio_limit)).otherwise(ratio)
     return rows.withColumns({
         "anom_annual_mm": F.col("mm_365d") - F.col("normal_annual_mm"),
         "anom_season_mm": F.col("interval_mm") - F.col("normal_season_mm"),
