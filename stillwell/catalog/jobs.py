@@ -103,13 +103,13 @@ def residual_trend(spark, sf):
     return rounded(attribution.residual_trend(analog.scored(spark, sf), ["grp"], 7), 5)
 
 
-define("by_group", ("scored",), """SELECT grp, avg(residual) AS a, avg(residual) FILTER (WHERE split <> 'train') AS b FROM scored GROUP BY 1
-    HAVING count(DISTINCT entity) >= 3 AND count(DISTINCT CASE WHEN split <> 'train' THEN entity END) >= 3""")
+define("every_group", ("scored",), "SELECT grp, avg(residual) AS a FROM scored GROUP BY 1 HAVING count(DISTINCT entity) >= 3")
+define("held_group", ("scored",), "SELECT grp, avg(residual) AS b FROM scored WHERE split <> 'train' GROUP BY 1 HAVING count(DISTINCT entity) >= 3")
 
 
-@query("rank_agreement", sql(["by_group"], f"""SELECT {R('corr(ra, rb)')} AS spearman, count(*) AS common,
-(SELECT count(*) FROM (SELECT grp FROM by_group ORDER BY a DESC, grp LIMIT 10) JOIN (SELECT grp FROM by_group ORDER BY b DESC, grp LIMIT 10) USING (grp)) AS top10
-FROM (SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM by_group)"""))
+@query("rank_agreement", sql(["every_group", "held_group"], f"""SELECT {R('corr(ra, rb)')} AS spearman, count(*) AS common,
+(SELECT count(*) FROM (SELECT grp FROM every_group ORDER BY a DESC, grp LIMIT 10) JOIN (SELECT grp FROM held_group ORDER BY b DESC, grp LIMIT 10) USING (grp)) AS top10
+FROM (SELECT rank() OVER (ORDER BY a) AS ra, rank() OVER (ORDER BY b) AS rb FROM every_group JOIN held_group USING (grp))"""))
 def rank_agreement(spark, sf):
     """District ranking on all rows against held-out rows only."""
     rows = analog.scored(spark, sf)

@@ -64,7 +64,7 @@ def own_trend(spark, sf):
     return rounded(aggregates.slope(rows, ["entity"], "t", "value", "slope", 6, otherwise=0.0), 5)
 
 
-@query("within_corr", sql(["with_driver"], f"""SELECT grp, {R('corr(interval_mm, delta)')} AS corr, count(*) AS rows FROM with_driver
+@query("within_corr", sql(["with_driver"], f"""SELECT grp, CASE WHEN stddev_pop(interval_mm) * stddev_pop(delta) > 0 THEN {R('corr(interval_mm, delta)')} END AS corr, count(*) AS rows FROM with_driver
 GROUP BY 1 HAVING count(*) > 30 UNION ALL SELECT 'pooled', {R('corr(interval_mm, delta)')}, count(*) FROM with_driver"""))
 def within_corr(spark, sf):
     rows = analog.with_driver(spark, sf, "interval_mm")
@@ -99,7 +99,7 @@ def _yearly(spark, sf):
         "cell", F.year("date").alias("year")).agg(F.sum("mm").alias("mm"))
 
 
-@query("lag1_autocorr", sql(["yearly_driver"], f"""SELECT cell, {R('corr(mm, before)')} AS autocorr FROM (SELECT cell, mm,
+@query("lag1_autocorr", sql(["yearly_driver"], f"""SELECT cell, CASE WHEN stddev_pop(CASE WHEN before IS NOT NULL THEN mm END) * stddev_pop(before) > 0 THEN {R('corr(mm, before)')} END AS autocorr FROM (SELECT cell, mm,
 lag(mm) OVER (PARTITION BY cell ORDER BY year) AS before, count(*) OVER (PARTITION BY cell) AS n FROM yearly_driver) WHERE n = 7 GROUP BY 1"""))
 def lag1_autocorr(spark, sf):
     return rounded(aggregates.lag1_autocorrelation(_yearly(spark, sf), ["cell"], "mm", "year", 7))

@@ -49,3 +49,13 @@ def tenths(mm: Column) -> Column:
     """Amount in tenths, clipped to 0..3000 and rounded half to even; null and NaN stay missing."""
     known = F.when(F.isnan(mm), None).otherwise(mm)
     return F.bround(clip(known, 0.0, 3000.0) * 10, 0).cast("short")
+
+
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation as an aggregate, over rows where both are known; null where either does not vary.
+
+    The built-in raises on a constant column in ANSI mode.
+    """
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))

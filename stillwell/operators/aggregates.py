@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import dates
+from ..functions import dates, numbers
 from ..functions.constants import HEAVY_DAY_MM, WET_MM
 from ..functions.numbers import clip
 
@@ -36,7 +36,7 @@ def percent_missing(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def share_of_total(df: DataFrame, value: str, part: Column, name: str) -> DataFrame:
-    return df.agg((F.sum(F.when(part, F.col(value))) / F.sum(value)).alias(name))
+    return df.agg((F.sum(F.when(part, F.col(value))) / F.nullif(F.sum(value), F.lit(0.0))).alias(name))
 
 
 def slope(df: DataFrame, keys: list[str], x: str, y: str, name: str, at_least: int, distinct: bool = False,
@@ -50,7 +50,7 @@ def slope(df: DataFrame, keys: list[str], x: str, y: str, name: str, at_least: i
 
 def correlation(df: DataFrame, keys: list[str], x: str, y: str, more_than: int = 0) -> DataFrame:
     both = F.count(F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), 1))
-    return (df.groupBy(*keys).agg(F.corr(x, y).alias("corr"), both.alias("rows"))
+    return (df.groupBy(*keys).agg(numbers.correlation(F.col(x), F.col(y)).alias("corr"), both.alias("rows"))
             .where(F.col("rows") > more_than))
 
 
@@ -59,7 +59,7 @@ def lag1_autocorrelation(df: DataFrame, keys: list[str], value: str, order: str,
     by = W.partitionBy(*keys)
     pairs = df.select(*keys, value, F.lag(value, 1).over(by.orderBy(order)).alias("_before"),
                       F.count(F.lit(1)).over(by).alias("_n"))
-    return pairs.where(F.col("_n") == exactly).groupBy(*keys).agg(F.corr(value, "_before").alias("autocorr"))
+    return pairs.where(F.col("_n") == exactly).groupBy(*keys).agg(numbers.correlation(F.col(value), F.col("_before")).alias("autocorr"))
 
 
 def error_metrics(df: DataFrame, keys: list[str], observed: str, predicted: str) -> DataFrame:
@@ -134,8 +134,8 @@ def weighted_centre(boxes: DataFrame, key: str) -> DataFrame:
     """Area-weighted centre of the boxes of each group."""
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     return boxes.groupBy(key).agg(
-        (F.sum((F.col("x0") + F.col("x1")) / 2 * area) / F.sum(area)).alias("x"),
-        (F.sum((F.col("y0") + F.col("y1")) / 2 * area) / F.sum(area)).alias("y"), F.sum(area).alias("area"))
+        (F.sum((F.col("x0") + F.col("x1")) / 2 * area) / F.nullif(F.sum(area), F.lit(0.0))).alias("x"),
+        (F.sum((F.col("y0") + F.col("y1")) / 2 * area) / F.nullif(F.sum(area), F.lit(0.0))).alias("y"), F.sum(area).alias("area"))
 
 
 def mean_within_std(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:

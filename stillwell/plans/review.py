@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import numbers
 from ..functions.constants import RESPONSE_FACTORS, WRONG_WAY_TOLERANCE
 from ..operators import aggregates, ranking, windows
 from . import expected
@@ -20,7 +21,7 @@ def ensemble_weights(rows: DataFrame, observed: str, first: str, second: str, st
     each = sums.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(steps))))
     w = F.col("_k") / F.lit(float(steps))
     error = w * w * F.col("_aa") + 2 * w * (1 - w) * F.col("_ab") + (1 - w) * (1 - w) * F.col("_bb")
-    return each.select(w.alias("weight"), (1 - error / F.col("_ss")).alias("r2"))
+    return each.select(w.alias("weight"), (1 - error / F.nullif(F.col("_ss"), F.lit(0.0))).alias("r2"))
 
 
 def best_weight(weights: DataFrame) -> DataFrame:
@@ -28,7 +29,7 @@ def best_weight(weights: DataFrame) -> DataFrame:
 
 
 def error_correlation(rows: DataFrame, observed: str, first: str, second: str) -> DataFrame:
-    return rows.agg(F.corr(F.col(observed) - F.col(first), F.col(observed) - F.col(second)).alias("corr"),
+    return rows.agg(numbers.correlation(F.col(observed) - F.col(first), F.col(observed) - F.col(second)).alias("corr"),
                     F.count(F.lit(1)).alias("rows"))
 
 
@@ -51,7 +52,7 @@ def response(rows: DataFrame, lines: DataFrame, x: str = "interval_mm", factors:
 def skill_over(rows: DataFrame, observed: str, better: str, baseline: str) -> DataFrame:
     """R2 of a model, of a baseline, and the difference."""
     a, b = F.col(better) - F.col(observed), F.col(baseline) - F.col(observed)
-    v = F.var_pop(observed)
+    v = F.nullif(F.var_pop(observed), F.lit(0.0))
     return rows.agg((1 - F.avg(a * a) / v).alias("r2"), (1 - F.avg(b * b) / v).alias("r2_baseline"),
                     ((F.avg(b * b) - F.avg(a * a)) / v).alias("added"))
 
@@ -68,8 +69,8 @@ def compare_methods(base: DataFrame, others: dict[str, DataFrame], keys: list[st
         both = base.select(*keys, F.col(value).alias("_a")).join(table.select(*keys, F.col(value).alias("_b")), keys)
         both = both.where(F.col("_a").isNotNull() & F.col("_b").isNotNull())
         gap = F.avg(F.abs(F.col("_b") - F.col("_a")))
-        row = both.agg(F.count(F.lit(1)).alias("rows"), F.corr("_b", "_a").alias("corr"), gap.alias("mae"),
-                       (gap / F.avg("_a") * 100).alias("mae_pct")).withColumn("method", F.lit(name))
+        row = both.agg(F.count(F.lit(1)).alias("rows"), numbers.correlation(F.col("_b"), F.col("_a")).alias("corr"), gap.alias("mae"),
+                       (gap / F.nullif(F.avg("_a"), F.lit(0.0)) * 100).alias("mae_pct")).withColumn("method", F.lit(name))
         out = row if out is None else out.unionByName(row)
     return out
 
