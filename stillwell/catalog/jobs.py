@@ -271,8 +271,7 @@ def _band_sql(effect: str) -> str:
 
 def _effect(spark, sf, edits, members):
     rows = analog.with_driver(spark, sf, "interval_mm")
-    steps = scenario.affected_steps(spark, edits, analog.FIRST_YEAR)
-    return scenario.interval_effect(steps, analog.driver(spark, sf), analog.lines(rows), edits, members, analog.FIRST_YEAR, analog.LAST_YEAR)
+    return scenario.interval_effect(analog.driver(spark, sf), analog.lines(rows), edits, members, analog.FIRST_YEAR, analog.LAST_YEAR)
 
 
 @query("edit_effect", sql(["past_effect"], _band_sql("past_effect")))

@@ -9,7 +9,7 @@ from ..functions.constants import SEASONS, SHIFTS_PCT, SKILL_YEARS
 from ..operators import series, windows
 from ..session import cut_lineage
 from . import expected
-from .scenario import steps_table
+from .scenario import with_step_facts
 
 
 def season_array() -> Column:
@@ -21,11 +21,9 @@ def regular_intervals(packed: DataFrame, first_year: int, last_year: int) -> Dat
 
     A reading whose interval starts before the record is left out.
     """
-    days = packed.sparkSession.range(1).select(F.explode(F.flatten(F.transform(
-        F.sequence(F.lit(first_year), F.lit(last_year)),
-        lambda y: F.transform(season_array(), lambda s: dates.reading_date(y, s))))).alias("date"))
-    steps = steps_table(days).withColumn("_one", F.lit(1))          # four rows a year
-    rows = packed.withColumn("_one", F.lit(1)).join(F.broadcast(steps), "_one")
+    days = F.flatten(F.transform(F.sequence(F.lit(first_year), F.lit(last_year)),
+                                 lambda y: F.transform(season_array(), lambda s: dates.reading_date(y, s))))
+    rows = with_step_facts(packed.withColumn("date", F.explode(days)))          # four rows a year and cell
     total = series.span_sum("cum", F.col("prev_date"), F.col("date"))
     return rows.where(F.col("prev_date") >= F.date_sub("first_day", 1)).select(
         "cell", "year", "season", "date", "prev_date", total.alias("interval_mm"))

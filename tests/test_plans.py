@@ -89,8 +89,7 @@ def test_edits_apply_in_order_and_never_below_zero(spark):
 def test_past_wetter_season_has_a_negative_effect(world, spark):
     daily, people, lines = world
     edits = [scenario.Edit(dt.date(2006, 6, 1), dt.date(2006, 9, 30), 1.15)]
-    steps = scenario.affected_steps(spark, edits, 2000)
-    effect = scenario.interval_effect(steps, daily, lines, edits, 1, 2000, 2009)
+    effect = scenario.interval_effect(daily, lines, edits, 1, 2000, 2009)
     bands = scenario.cumulative_effect(effect, people).orderBy("step").collect()
     assert bands[0]["date"] == dt.date(2006, 8, 15) and bands[-1]["p50"] < 0
     assert all(b["p10"] == b["p50"] == b["p90"] for b in bands)
@@ -103,8 +102,7 @@ def test_past_wetter_season_has_a_negative_effect(world, spark):
 def test_future_edit_uses_replayed_days(world, spark):
     daily, people, lines = world
     edits = [scenario.Edit(dt.date(2012, 10, 9), dt.date(2012, 10, 9), 1.0, 40.0)]
-    steps = scenario.affected_steps(spark, edits, 2000)
-    effect = scenario.interval_effect(steps, daily, lines, edits, 10, 2000, 2009)
+    effect = scenario.interval_effect(daily, lines, edits, 10, 2000, 2009)
     bands = scenario.cumulative_effect(effect, people).orderBy("step").collect()
     assert bands[0]["date"] == dt.date(2012, 11, 15) and len(bands) == 8
     assert all(b["p50"] == pytest.approx(-0.016 * 40) for b in bands)       # adding rain does not depend on the member
