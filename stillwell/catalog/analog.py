@@ -120,9 +120,11 @@ _CTES = {
               FROM readings WINDOW w AS (PARTITION BY entity ORDER BY date))
         WHERE value_start IS NOT NULL AND date - prev_date BETWEEN 45 AND 400"""),
     "intervals": (("changes", "entities"), "SELECT * FROM changes JOIN entities USING (entity)"),
-    "with_driver": (("intervals", "driver"), """SELECT i.*, a.cum - b.cum AS interval_mm FROM intervals i
-        JOIN driver a ON a.cell = i.cell AND a.date = i.date
-        JOIN driver b ON b.cell = i.cell AND b.date = i.prev_date"""),
+    # in two steps: joined at once, the two driver look-ups would meet each other first
+    "with_end": (("intervals", "driver"), """SELECT i.*, d.cum AS end_cum FROM intervals i
+        JOIN driver d ON d.cell = i.cell AND d.date = i.date"""),
+    "with_driver": (("with_end", "driver"), """SELECT i.* EXCLUDE (end_cum), end_cum - d.cum AS interval_mm FROM with_end i
+        JOIN driver d ON d.cell = i.cell AND d.date = i.prev_date"""),
     "lines": (("with_driver",), """SELECT season, regr_intercept(delta, interval_mm) AS intercept,
         regr_slope(delta, interval_mm) AS slope FROM with_driver WHERE split = 'train' GROUP BY season"""),
     "scored": (("with_driver", "lines"), """SELECT w.*, intercept + slope * interval_mm AS expected,

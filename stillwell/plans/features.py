@@ -6,6 +6,9 @@ row lags and history sums then run over the surviving rows only. Normals come la
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.constants import GAP_DAYS, HEAVY_MM, TRAILING_DAYS, WET_MM
@@ -29,16 +32,21 @@ def pack_driver(daily: DataFrame, value: str = "mm") -> DataFrame:
         "cum": mm, "cum_wet": (mm >= WET_MM).cast("int"), "cum_heavy": (mm >= HEAVY_MM).cast("int")})
 
 
-def driver_features(date: Column, previous: Column, gap: Column) -> dict[str, Column]:
-    """Driver features of one interval, to be selected where the packed driver is joined."""
-    total = series.span_sum("cum", previous, date)
-    wet = series.span_sum("cum_wet", previous, date).cast("long")
+def driver_features(date: Column, previous: Column, gap: Column) -> dict[str, Callable[[], Column]]:
+    """Driver features of one interval by name, to be selected where the packed driver is joined."""
+    def total() -> Column:
+        return series.span_sum("cum", previous, date)
+
+    def wet() -> Column:
+        return series.span_sum("cum_wet", previous, date).cast("long")
+
+    trailing = {f"mm_{d}d": partial(series.trailing_sum, "cum", date, d) for d in TRAILING_DAYS}
     return {
-        "interval_mm": total, "interval_per_day": total / gap,
-        **{f"mm_{d}d": series.trailing_sum("cum", date, d) for d in TRAILING_DAYS},
-        "monsoon_mm": series.monsoon_sum("cum", date),
-        "wet_days": wet, "heavy_days": series.span_sum("cum_heavy", previous, date).cast("long"),
-        "max_day_mm": series.span_max("mm", previous, date), "per_wet_day": ratio_at_least_one(total, wet),
+        "interval_mm": total, "interval_per_day": lambda: total() / gap, **trailing,
+        "monsoon_mm": lambda: series.monsoon_sum("cum", date), "wet_days": wet,
+        "heavy_days": lambda: series.span_sum("cum_heavy", previous, date).cast("long"),
+        "max_day_mm": lambda: series.span_max("mm", previous, date),
+        "per_wet_day": lambda: ratio_at_least_one(total(), wet()),
     }
 
 
@@ -46,9 +54,8 @@ def attach_driver(rows: DataFrame, packed: DataFrame, only: list[str] | None = N
                   salts: int = 1) -> DataFrame:
     """Driver features of each row from one equi-join on the cell; the arrays go no further."""
     features = driver_features(F.col("date"), F.col("prev_date"), F.col("gap"))
-    chosen = {n: c for n, c in features.items() if only is None or n in only}
     joined = lookup_salted(rows, packed, [cell], salts, ["entity", "date"])
-    return joined.select(*rows.columns, *[c.alias(n) for n, c in chosen.items()])
+    return joined.select(*rows.columns, *[make().alias(n) for n, make in features.items() if only is None or n in only])
 
 
 def history(rows: DataFrame, value: str = "interval_mm") -> DataFrame:
