@@ -6,13 +6,12 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from ..functions import dates
-from ..operators import aggregates, series
+from ..operators import aggregates
 from ..plans import attribution, expected, features, forecast, review, scenario, sequences
 from ..session import cut_lineage
 from . import analog
 from .analog import define, sql
-from .registry import R, query, r, rounded
+from .registry import R, query, rounded
 from .features import _in_train
 
 HELD = analog.HELD_OUT

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.constants import SEARCH_RADII_KM
-from ..operators import aggregates, places, series, spatial
+from ..operators import aggregates, places, spatial
 from ..plans import review
 from . import analog
 from .analog import sql, table

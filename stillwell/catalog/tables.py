@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from ..functions import numbers, strings
 from ..functions.constants import BLANK_TOKENS
 from ..operators import aggregates, cleaning, joins, quality, ranking, series, windows
-from ..plans import features
 from ..sources import grid, wide
 from . import analog
 from .analog import sql, table

@@ -40,6 +40,7 @@ MIN_TOWN_POPULATION = 5000
 
 # Category tokens that mean "not recorded".
 BLANK_TOKENS = ["-", "Not available", "", "nan", "None"]
+AQUIFER_SOURCES = {"recorded": "cgwb", "inferred": "inferred_dug_well", "neither": "unknown"}
 DUG_TYPES = ["Dug well", "Dug cum bore well"]
 ROCK_CLASS = {
     0.018: "folded metasediments / sedimentary aquitard",

@@ -6,7 +6,7 @@ from itertools import chain
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.constants import (BLANK_TOKENS, DUG_TYPES, FORBIDDEN, CATEGORICAL, GAP_DAYS, MIN_READINGS,
+from ..functions.constants import (AQUIFER_SOURCES, BLANK_TOKENS, DUG_TYPES, FORBIDDEN, CATEGORICAL, GAP_DAYS, MIN_READINGS,
                                    ROCK_CLASS, TRAIN_YEARS, VALID_YEARS, TEST_YEARS)
 from ..functions.strings import blank_to_null
 from .ranking import segmented_row_number
@@ -74,7 +74,8 @@ def fill_aquifer(df: DataFrame, aquifer: str = "aquifer", well_type: str = "well
     return df.select(
         *[c for c in df.columns if c not in (aquifer, well_type)],
         F.when(dug, "Unconfined").otherwise(F.coalesce(a, F.lit("Unknown"))).alias(aquifer),
-        F.when(a.isNotNull(), "cgwb").when(dug, "inferred_dug_well").otherwise("unknown").alias("aquifer_source"),
+        F.when(a.isNotNull(), AQUIFER_SOURCES["recorded"]).when(dug, AQUIFER_SOURCES["inferred"])
+        .otherwise(AQUIFER_SOURCES["neither"]).alias("aquifer_source"),
         F.coalesce(t, F.lit("Unknown")).alias(well_type))
 
 
