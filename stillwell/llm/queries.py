@@ -10,6 +10,7 @@ import public_tokenizers
 
 from stillwell.llm import chunk_bpe, token_files
 from stillwell.llm.exact_dedup import exact_groups
+from stillwell.llm.minhash import near_groups
 from stillwell.llm.packing import pack_documents
 from stillwell.llm.warc import archived
 
@@ -61,3 +62,18 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_chunk_bpe")
 def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op4_minhash", r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS t
+        FROM documents),
+    s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(t) - 4, least(len(t), 1)) + 1), lambda i: array_to_string(t[i:i + 4], ' '))) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id <> y.doc_id GROUP BY ALL),
+    l AS (SELECT a, b FROM p JOIN n u ON u.doc_id = a JOIN n v ON v.doc_id = b WHERE 100 * m >= 75 * (u.k + v.k - m)),
+    r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+    SELECT doc_id, coalesce(k, 0) AS n_shingles, c AS component_id, doc_id = c AS kept
+    FROM (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) LEFT JOIN n USING (doc_id)""")
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(table(spark, sf_dir, "documents"))
