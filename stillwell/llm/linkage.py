@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from stillwell.llm.shared import hot_join, staged
 
+SMALL = 64
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b): component is the smallest node it can reach.
@@ -32,47 +34,45 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     """Confirmed links (a, b) that connect all that candidates can connect, and the groups (node, component).
 
     ``members`` (bucket, node): nodes that share a bucket are candidates. ``verify`` keeps the pairs (a, b) that are
-    truly linked. In each round some nodes of a bucket lead it (first the smallest, then two more, four more, and so
-    on) and are paired with all its other nodes of other groups. A bucket is done when all its nodes are in one group
-    or all but one have led. So two linked nodes of a bucket always end in one group, no bucket emits all its pairs
+    truly linked. In each round some nodes of a bucket lead it (first the smallest; then all in a bucket of at most
+    SMALL nodes, and 16, 256, ... in larger ones) and are paired with its other nodes of other groups. A bucket is
+    done when all its nodes are in one group or all but one have led. So two linked nodes of a bucket always end in one group, no bucket emits all its pairs
     unless nothing in it is linked, and no task ever holds a bucket.
     """
-    columns = ["a", "b"]
     spread = F.xxhash64("node")
     sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
     rows = members.count()
     open_ = staged(hot_join(members, sizes.select("bucket", F.col("low").alias("lead"), "n"), ["bucket"], "n", rows, spread, "inner"))
     pairs = open_.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = staged(verify(pairs))
+    links = staged(verify(pairs).select("a", "b"))
     groups = components(links)
     state = open_.select("bucket", "node", (F.col("node") == F.col("lead")).alias("led"))
-    leaders = 2
+    leaders = 16
     while True:
-        named = state.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        named = staged(named)
+        named = staged(state.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
                                             F.count(F.when(~F.col("led"), 1)).alias("waiting")).filter("low < high AND waiting > 1")
-        rows = named.count()
-        left = staged(hot_join(named, mixed.select("bucket", "n"), ["bucket"], "n", rows, spread, "inner"))
+        left = staged(hot_join(named, mixed.select("bucket", "n"), ["bucket"], "n", named.count(), spread, "inner"))
         if left.isEmpty():
             return links, groups
-        # the smallest waiting node of each of some parts of a bucket leads next
-        part = F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders))
-        next_ = left.filter(~F.col("led")).groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "component")).alias("lead"))
-        next_ = staged(next_.select("bucket", F.col("lead.node").alias("lead"), F.col("lead.component").alias("lead_component")))
-        follow = hot_leaders(left, next_)
-        pairs = follow.filter("component <> lead_component").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-        links = staged(links.select(*columns).union(verify(pairs).select(*columns)).distinct())
-        groups = components(links)
+        # in a large bucket the smallest waiting node of each of some parts leads next
+        part = F.when(F.col("n") <= SMALL, spread).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
+        next_ = left.filter(~F.col("led")).groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "component", "n")).alias("lead"))
+        next_ = staged(next_.select("bucket", "lead.n", F.col("lead.node").alias("lead"), F.col("lead.component").alias("lead_component")))
+        follow = hot_leaders(left, next_).filter("component <> lead_component")
+        pairs = follow.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        found = staged(verify(pairs).select("a", "b"))
+        if not found.isEmpty():
+            links = staged(links.union(found).distinct())
+            groups = components(links)
         chosen = next_.select("bucket", F.col("lead").alias("node"), F.lit(True).alias("chosen"))
         state = left.select("bucket", "node", "led").join(chosen, ["bucket", "node"], "left").select("bucket", "node", (F.col("led") | F.coalesce("chosen", F.lit(False))).alias("led"))
-        leaders *= 2
+        leaders *= 16
 
 
 def hot_leaders(left: DataFrame, leads: DataFrame) -> DataFrame:
     """Members next to each leader of their bucket; the members of a bucket are dealt over several tasks by its size."""
     salts = F.least(F.lit(256), F.ceil(F.col("n") / 512)).cast("int")
-    dealt = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int"))
-    sizes = left.select("bucket", "n").distinct()
-    copies = leads.join(sizes, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("bucket", "salt", "lead", "lead_component")
+    dealt = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("n")
+    copies = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
     return dealt.join(copies, ["bucket", "salt"])

@@ -10,6 +10,7 @@ import public_tokenizers
 
 from stillwell.llm import chunk_bpe, token_files
 from stillwell.llm.exact_dedup import exact_groups
+from stillwell.llm.line_dedup import line_report
 from stillwell.llm.minhash import near_groups
 from stillwell.llm.packing import pack_documents
 from stillwell.llm.warc import archived
@@ -77,3 +78,8 @@ def op8_chunk_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM (SELECT a AS doc_id, min(b) AS c FROM r GROUP BY a) LEFT JOIN n USING (doc_id)""")
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
