@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 
-from stillwell.llm import chunk_bpe, token_files
+from stillwell.llm import chunk_bpe, token_files, toxicity
+from stillwell.llm.ann import nearest_vectors
 from stillwell.llm.exact_dedup import exact_groups
 from stillwell.llm.line_dedup import line_report
 from stillwell.llm.minhash import near_groups
@@ -83,3 +84,14 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_ann")
+def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_vectors(table(spark, sf_dir, "embeddings"))
