@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stillwell.llm.tokens import BYTE_PIECES, UNUSUAL, PieceEncoder, encoder
+from stillwell.llm.tokens import BYTE_PIECES, UNUSUAL, PieceEncoder, byte_letters, encoder
 
 CODED = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -129,13 +129,10 @@ class ChunkEncoder:
 
 
 def token_bytes(path: str) -> list[bytes]:
-    """The bytes that each id stands for, by the byte alphabet of byte-level vocabularies."""
+    """The bytes that each id stands for, by the letters of byte-level vocabularies."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
-    # printable bytes stand for themselves, the others for the code points from 256 on, in order
-    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    other = [b for b in range(256) if b not in plain]
-    alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
+    alphabet = {c: b for b, c in byte_letters().items()}
     table = []
     for i in range(tokenizer.get_vocab_size(with_added_tokens=True)):
         token = tokenizer.id_to_token(i) or ""

@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
+
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise RuntimeError("ids are kept as little-endian 32-bit numbers")
 
 #: Texts with any other white space, an information separator or a special token's opening are encoded in one go.
 UNUSUAL = re.compile(r"[^\S \t\n\r]|<\|")
@@ -11,11 +16,30 @@ UNUSUAL = re.compile(r"[^\S \t\n\r]|<\|")
 BYTE_PIECES = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: The word tokenizer drops white space, so a text may be cut at it.
 WORD_PIECES = re.compile(r"[^ \t\n\r]+")
+#: Below this, composition changes nothing and lower case goes by single characters.
+PLAIN_BELOW = "\u0130"
+BEYOND_PLAIN = re.compile(f"[^\0-{chr(ord(PLAIN_BELOW) - 1)}]")
+#: A run of these at the end of a piece is a pre-token of its own if a letter comes before it.
+CLOSING = ".,!?"
 LONGEST_KEPT = 64
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter of byte-level vocabularies for each byte, as a table for str.translate on Latin-1.
+
+    Printable bytes stand for themselves, the others for the code points from 256 on, in order.
+    """
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    other = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(other)}
+
+
 class PieceEncoder(dict):
-    """Little-endian 32-bit ids of text pieces, remembered in two generations of at most ``limit`` pieces."""
+    """Little-endian 32-bit ids of text pieces, remembered in two generations of at most ``limit`` pieces.
+
+    A piece that is one word goes to the tokenizer's merges directly, a word with closing marks is put together from
+    both, and any other piece is encoded in full.
+    """
 
     def __init__(self, path: str, pieces: re.Pattern, limit: int):
         super().__init__()
@@ -24,17 +48,33 @@ class PieceEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.merges = self.tokenizer.model
         self.pieces, self.limit, self.older = pieces, limit, {}
+        self.lowers, self.letters = pieces == WORD_PIECES, byte_letters()
 
     def whole(self, text: str) -> bytes:
         """The ids of a text as the tokenizers library gives them in one call."""
-        import numpy as np
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def word(self, word: str) -> bytes:
+        """The ids of one pre-token."""
+        letters = word.encode().decode("latin-1").translate(self.letters)
+        return array("I", [token.id for token in self.merges.tokenize(letters)]).tobytes()
+
+    def fresh(self, piece: str) -> bytes:
+        stem = piece.rstrip(CLOSING)
+        if stem != piece and stem[-1:].isalpha():
+            return self[stem] + self[piece[len(stem):]]
+        if self.lowers:
+            return self.word(piece) if piece.isalpha() and piece.islower() and max(piece) < PLAIN_BELOW else self.whole(piece)
+        if piece[0] in "\n\t\r" and piece[1:].isalpha():
+            return self[piece[0]] + self[piece[1:]]
+        return self.word(piece) if piece.removeprefix(" ").isalpha() else self.whole(piece)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.older.get(piece)
         if ids is None:
-            ids = self.whole(piece)
+            ids = self.fresh(piece)
             if len(piece) > LONGEST_KEPT:
                 return ids
         if len(self) >= self.limit:
@@ -49,6 +89,8 @@ class PieceEncoder(dict):
             return b""
         if UNUSUAL.search(text):
             return self.whole(text)
+        if self.lowers and not BEYOND_PLAIN.search(text):
+            text = text.lower()
         return b"".join(map(self.__getitem__, self.pieces.findall(text)))
 
 

@@ -84,7 +84,7 @@ def sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], found], ["doc_id", "toxic", "features"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000, most_features: int = 4096) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 2000, clean_rows: int = 4000, most_features: int = 1024) -> Model | None:
     """Fit on a bounded sample of labelled documents: at most ``toxic_rows`` and ``clean_rows``, by a hash of doc_id.
 
     The ``most_features`` features whose shares among toxic and clean documents differ most are used. A marker is a
@@ -134,7 +134,7 @@ class WordScores(dict):
         return value
 
 
-def score(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, severity (expected grade), grade (likeliest), p_toxic, toxic.
 
     toxic is p_toxic >= ``least``, the chance of any grade above 0. Whole texts are read. A null or empty text has no
