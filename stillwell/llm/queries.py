@@ -12,6 +12,7 @@ from stillwell.llm import chunk_bpe, token_files, toxicity
 from stillwell.llm.ann import nearest_vectors
 from stillwell.llm.exact_dedup import exact_groups
 from stillwell.llm.line_dedup import line_report
+from stillwell.llm.lm import language_scores
 from stillwell.llm.minhash import near_groups
 from stillwell.llm.packing import pack_documents
 from stillwell.llm.warc import archived
@@ -95,3 +96,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_ann")
 def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_language_model")
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_scores(table(spark, sf_dir, "documents"))

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ WORDS = re.compile(r"[^\W\d_]+")
 GRADE_ENDS = (2, 5)
 GRADES = 4
 PREFIXES = (4, 5)
+#: A document is toxic from this chance of any grade above 0.
+LEAST = 0.7
 
 SCORED = "doc_id long, severity double, grade int, p_toxic double, toxic boolean"
 
@@ -134,7 +137,22 @@ class WordScores(dict):
         return value
 
 
-def score(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame:
+def text_scores(model: Model):
+    """A function from texts to scores, for use in one worker."""
+    words = WordScores(model.weights)
+    marked = {n: {f: w for f, w in model.weights.items() if f.endswith("*") and len(f) == n + 1} for n in PREFIXES}
+
+    def one(text: str | None) -> float:
+        found = set(WORDS.findall((text or "").lower()))
+        total = sum(map(words.__getitem__, found))
+        for n, table in marked.items():
+            total += sum(map(table.__getitem__, table.keys() & {w[:n] + "*" for w in found if len(w) >= n}))
+        return total
+
+    return one
+
+
+def score(docs: DataFrame, model: Model | None, least: float = LEAST) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, severity (expected grade), grade (likeliest), p_toxic, toxic.
 
     toxic is p_toxic >= ``least``, the chance of any grade above 0. Whole texts are read. A null or empty text has no
@@ -143,19 +161,12 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordScores(model.weights) if model else None
-        marked = {n: {f: w for f, w in model.weights.items() if f.endswith("*") and len(f) == n + 1} for n in PREFIXES} if model else {}
+        one = text_scores(model) if model else None
         for batch in batches:
-            scores = np.zeros(len(batch))
-            if model:
-                for i, text in enumerate(batch["text"]):
-                    found = set(WORDS.findall((text.as_py() or "").lower()))
-                    total = sum(map(words.__getitem__, found))
-                    for n, table in marked.items():
-                        starts = {w[:n] + "*" for w in found if len(w) >= n}
-                        total += sum(table[f] for f in table.keys() & starts)
-                    scores[i] = total
-            chances = model.probabilities(scores) if model else np.eye(1, GRADES).repeat(len(batch), axis=0)
+            if one:
+                chances = model.probabilities(np.array([one(t.as_py()) for t in batch["text"]], dtype=np.float64))
+            else:
+                chances = np.eye(1, GRADES).repeat(len(batch), axis=0)
             toxic = 1 - chances[:, 0]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(chances @ np.arange(GRADES)), pa.array(chances.argmax(axis=1).astype(np.int32)),
                                               pa.array(toxic), pa.array(toxic >= least)], ["doc_id", "severity", "grade", "p_toxic", "toxic"])
@@ -163,7 +174,16 @@ def score(docs: DataFrame, model: Model | None, least: float = 0.7) -> DataFrame
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCORED)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose text the model calls toxic."""
-    gone = score(docs, fit(docs, labels)).filter("toxic").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+def drop_toxic(docs: DataFrame, labels: DataFrame, least: float = LEAST) -> DataFrame:
+    """``docs`` without the rows whose text the model calls toxic; rows are judged where they are read."""
+    model = fit(docs, labels)
+    if model is None:
+        return docs
+
+    @F.pandas_udf("boolean")
+    def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        one = text_scores(model)
+        for texts in parts:
+            yield pd.Series(1 - model.probabilities(np.array([one(t) for t in texts], dtype=np.float64))[:, 0] < least)
+
+    return docs.filter(clean(F.col("text").cast("string")))
