@@ -146,16 +146,21 @@ def owners(memory: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = Trie()
+        # unnamed files of this task: gone with the task, and made again if the task is
         spilled: dict[int, tempfile._TemporaryFileWrapper] = {}
+
+        def spill(first: int) -> None:
+            file = spilled.get(first) or spilled.setdefault(first, tempfile.TemporaryFile())
+            for text, node in trie.cut(first):
+                pickle.dump((text, node.owner, node.count, node.members), file)
+
         for part in batches:
             for body, owner, copies, token in zip(part["body"], part["owner"].to_pylist(), part["copies"].to_pylist(), part["token"].to_pylist()):
                 trie.insert(body.as_py(), owner, copies, token)
                 if trie.held > memory and trie.root.kids:
-                    first = trie.heaviest()
-                    # an unnamed file of this task: gone with the task, and made again if the task is
-                    file = spilled.get(first) or spilled.setdefault(first, tempfile.TemporaryFile())
-                    for text, node in trie.cut(first):
-                        pickle.dump((text, node.owner, node.count, node.members), file)
+                    spill(trie.heaviest())
+        for first in spilled.keys() & trie.root.kids.keys():
+            spill(first)
         yield from summed(trie)
         for file in spilled.values():
             merged = Trie()

@@ -91,7 +91,7 @@ def writer(folder: str, tokenizer: str, end_id: int, file_ids: int):
         def put():
             nonlocal before, waiting
             path = f"{root}/{part:06d}-{uuid.uuid4().hex}.tokens"
-            with store.open_output_stream(path) as file:
+            with store.open_output_stream(path, compression=None) as file:
                 file.write(pack_file(docs, lengths, np.frombuffer(b"".join(held), dtype="<u4")))
             done.append({"path": path, "part": part, "start_in_part": before, "ids": waiting, "docs": len(docs)})
             before, waiting = before + waiting, 0

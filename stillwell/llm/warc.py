@@ -57,7 +57,7 @@ class Archive:
     def __init__(self, store: fs.FileSystem, path: str, sample: list[bytes], dictionary_bytes: int, level: int):
         trained = dictionary(sample, dictionary_bytes)
         self.path, self.count, self.bytes = path, 0, 0
-        self.file = store.open_output_stream(path)
+        self.file = store.open_output_stream(path, compression=None)
         self.codec = zstandard.ZstdCompressor(level=level, dict_data=trained)
         self._put(struct.pack("<II", SKIPPABLE, len(trained.as_bytes())) + trained.as_bytes())
 
@@ -150,7 +150,7 @@ def reader(folder: str):
         for part in batches:
             for path in part["path"].to_pylist():
                 rows = []
-                with store.open_input_stream(path) as file:
+                with store.open_input_stream(path, compression=None) as file:
                     for fields, block in read_archive(file):
                         digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
                         size, revisit = int(fields["WARC-Payload-Length"]), fields["WARC-Type"] == "revisit"
