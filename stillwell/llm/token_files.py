@@ -52,11 +52,12 @@ def decode_ranks(control: bytes, data: bytes, count: int) -> np.ndarray:
 
 def pack_file(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """One file: head, the ids by falling frequency, document ids with a null mask, lengths, control, data."""
-    values, places, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.lexsort((values, -counts))
-    rank = np.empty(len(values), dtype=np.uint32)
-    rank[order] = np.arange(len(values), dtype=np.uint32)
-    control, data = encode_ranks(rank[places])
+    counts = np.bincount(ids, minlength=1)
+    values = np.flatnonzero(counts)
+    order = np.lexsort((values, -counts[values]))
+    rank = np.zeros(len(counts), dtype=np.uint32)
+    rank[values[order]] = np.arange(len(values), dtype=np.uint32)
+    control, data = encode_ranks(rank[ids])
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     numbers = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
     return b"".join([HEAD.pack(MAGIC, len(doc_ids), len(ids), len(values), len(data)), values[order].astype("<u4").tobytes(),
