@@ -244,12 +244,13 @@ define("future_steps", ("regular_days",), """SELECT *, (row_number() OVER (ORDER
     AND date <= DATE '2003-10-20' + 728""")
 
 
-@query("affected_steps", sql(["past_steps"], "SELECT step, date, prev_date, season, year FROM past_steps"))
+@query("affected_steps", sql(["past_steps", "shipped"], f"""SELECT step, s.date, prev_date, season, year, {R('m')} AS mean_mm FROM past_steps s
+JOIN (SELECT date, avg(mm) AS m FROM shipped GROUP BY 1) d USING (date)"""))
 def affected_steps(spark, sf):
-    """Readings an edit reaches, kept where the record has them."""
+    """Readings an edit reaches, kept where the driver was recorded on that day, with its mean over the cells."""
     steps = scenario.affected_steps(spark, EDITS, analog.FIRST_YEAR)
-    days = analog.driver(spark, sf).select("date").distinct()
-    return steps.join(days, "date", "left_semi").select("step", "date", "prev_date", "season", "year")
+    days = analog.shipped(spark, sf).groupBy("date").agg(F.avg("mm").alias("mean_mm"))
+    return rounded(steps.join(days, "date").select("step", "date", "prev_date", "season", "year", "mean_mm"))
 
 
 define("past_effect", ("past_steps", "driver", "edited", "lines", "entities"), """SELECT 0 AS member, s.step, s.date, e.entity, slope * sum(x.mm - d.mm) AS effect
@@ -370,12 +371,16 @@ def shift_interpolate(spark, sf):
 define("regular_residuals", ("campaign_readings", "entities", "steps"), """SELECT r.entity, e.grp, e.state, r.season, r.season_year, r.value - r.v AS delta, r.value - r.v - s.step AS residual, s.step AS expected FROM
     (SELECT *, q - lag(q) OVER w AS k, lag(value) OVER w AS v FROM (SELECT *, season_year * 4 + list_position(['JAN','MAY','AUG','NOV'], season) AS q FROM campaign_readings)
     WINDOW w AS (PARTITION BY entity ORDER BY date)) r JOIN entities e USING (entity) JOIN steps s ON s.cell = e.cell AND s.year = r.season_year AND s.season = r.season AND s.shift = 0 WHERE k = 1""")
-define("rates", ("regular_residuals", "entities"), """WITH rr AS (SELECT * FROM regular_residuals WHERE season_year BETWEEN 1999 AND 2001),
+def _rates_sql(first: int, last: int) -> str:
+    return f"""WITH rr AS (SELECT * FROM regular_residuals WHERE season_year BETWEEN {first} AND {last}),
     m AS (SELECT entity, grp, state, season, avg(residual) AS v FROM rr GROUP BY 1, 2, 3, 4),
     g AS (SELECT grp, state, season, avg(v) AS v FROM m JOIN (SELECT grp, state FROM rr GROUP BY 1, 2 HAVING count(DISTINCT entity) >= 2) USING (grp, state) GROUP BY 1, 2, 3),
     s AS (SELECT state, season, avg(v) AS v FROM m JOIN (SELECT state FROM rr GROUP BY 1 HAVING count(DISTINCT entity) >= 2) USING (state) GROUP BY 1, 2)
     SELECT p.grp, p.state, q.season, coalesce(g.v, s.v, 0) AS rate FROM (SELECT DISTINCT grp, state FROM entities) p CROSS JOIN (SELECT unnest(['JAN','MAY','AUG','NOV']) AS season) q
-    LEFT JOIN g ON g.grp = p.grp AND g.state = p.state AND g.season = q.season LEFT JOIN s ON s.state = p.state AND s.season = q.season""")
+    LEFT JOIN g ON g.grp = p.grp AND g.state = p.state AND g.season = q.season LEFT JOIN s ON s.state = p.state AND s.season = q.season"""
+
+
+define("rates", ("regular_residuals", "entities"), _rates_sql(*HELD))
 
 
 def regular_residuals(spark, sf, table=None):
@@ -469,14 +474,17 @@ def _backtest_sql(start: int, end: int, rates: bool) -> str:
     return f"""SELECT ceil(t)::INT AS years_ahead, count(*) AS n, {other}, {trend} FROM (SELECT c.value, s.value AS h0, c.season_year + (p.p - 1) / 4.0 - {start}.75 AS t,
     coalesce(o.own, 0) AS own, (SELECT sum(step) FROM steps x WHERE x.shift = 0 AND x.cell = e.cell AND x.year * 4 + list_position(['JAN','MAY','AUG','NOV'], x.season)
       BETWEEN {start + 1} * 4 + 1 AND c.season_year * 4 + p.p) AS rain,
-    (SELECT sum(rate * ((c.season_year - {start + 1})::INT + (list_position(['JAN','MAY','AUG','NOV'], z.season) <= p.p)::INT)) FROM {'bt_rates' if rates else 'rates'} z WHERE z.grp = e.grp AND z.state = e.state) AS drift
+    (SELECT sum(rate * ((c.season_year - {start + 1})::INT + (list_position(['JAN','MAY','AUG','NOV'], z.season) <= p.p)::INT)) FROM {f'bt_rates_{start}' if rates else 'rates'} z WHERE z.grp = e.grp AND z.state = e.state) AS drift
     FROM campaign_readings c JOIN entities e USING (entity) CROSS JOIN LATERAL (SELECT list_position(['JAN','MAY','AUG','NOV'], c.season) AS p) p
     JOIN campaign_readings s ON s.entity = c.entity AND s.season_year = {start} AND s.season = 'NOV'
     LEFT JOIN (SELECT entity, CASE WHEN count(*) >= 6 THEN regr_slope(value, season_year + (list_position(['JAN','MAY','AUG','NOV'], season) - 1) / 4.0) ELSE 0 END AS own FROM campaign_readings
       WHERE season_year > {start - 4} AND season_year <= {start} GROUP BY 1) o ON o.entity = c.entity WHERE c.season_year BETWEEN {start + 1} AND {end}) GROUP BY 1"""
 
 
-define("bt_rates", ("rates",), "SELECT * FROM rates")
+#: The years before a start whose residuals give its group rates.
+RATE_YEARS = 4
+for _start in (1998, 1999):
+    define(f"bt_rates_{_start}", ("regular_residuals", "entities"), _rates_sql(_start - RATE_YEARS + 1, _start))
 
 
 @query("backtest", sql(["campaign_readings", "entities", "steps", "rates"], _backtest_sql(1998, 2001, False)))
@@ -486,12 +494,23 @@ def backtest(spark, sf):
     return rounded(forecast.backtest(campaigns, analog.entities(spark, sf), table, 1998, 2001), 5)
 
 
-@query("backtest_trend", sql(["campaign_readings", "entities", "steps", "bt_rates"], _backtest_sql(1999, 2001, True)))
-def backtest_trend(spark, sf):
+def _backtest_trend(spark, sf, start):
     table = tables(spark, sf)
+    years = (start - RATE_YEARS + 1, start)
     campaigns = forecast.campaign_readings(analog.readings(spark, sf))
-    return rounded(forecast.backtest(campaigns, analog.entities(spark, sf), table.where("shift = 0"), 1999, 2001,
-                                     group_rates_of(spark, sf, table)), 5)
+    return rounded(forecast.backtest(campaigns, analog.entities(spark, sf), table.where("shift = 0"), start, 2001,
+                                     group_rates_of(spark, sf, table, years), years), 5)
+
+
+@query("backtest_trend", sql(["campaign_readings", "entities", "steps", "bt_rates_1999"], _backtest_sql(1999, 2001, True)))
+def backtest_trend(spark, sf):
+    """The group trend of the years up to the start, judged on the years after it."""
+    return _backtest_trend(spark, sf, 1999)
+
+
+@query("backtest_trend_1998", sql(["campaign_readings", "entities", "steps", "bt_rates_1998"], _backtest_sql(1998, 2001, True)))
+def backtest_trend_1998(spark, sf):
+    return _backtest_trend(spark, sf, 1998)
 
 
 @query("parity", sql(["regular_residuals", "scored"], f"""SELECT {R('quantile_cont(abs(r.expected - s.expected), 0.5)')} AS median, {R('quantile_cont(abs(r.expected - s.expected), 0.99)')} AS p99

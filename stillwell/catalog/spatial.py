@@ -158,7 +158,7 @@ def point_in_polygon(spark, sf):
 @query("polygon_or_nearest", sql(["placed"], f"""SELECT entity, arg_min(district, (round(d, 9), district)) AS district, {R('min(d)')} AS distance FROM placed GROUP BY 1"""))
 def polygon_or_nearest(spark, sf):
     exact = outlines(spark, sf)
-    found = spatial.polygon_or_nearest(analog.entities(spark, sf), "entity", exact, "district", tile=0.5, farthest=8.0)
+    found = spatial.polygon_or_nearest(analog.entities(spark, sf), "entity", exact, "district", tile=0.5)
     return rounded(found)
 
 

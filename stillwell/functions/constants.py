@@ -57,8 +57,6 @@ RESPONSE_FACTORS = [0.5, 0.8, 1.2, 1.5]
 WRONG_WAY_TOLERANCE = 1e-4
 FIRST_REPLAY_YEAR = 2000
 LAST_REPLAY_YEAR = 2022
-ROW_BUDGET = 30000
-MAX_EDIT_DAYS = 730
 SKILL_YEARS = 5
 HISTORY_FROM = 2012
 

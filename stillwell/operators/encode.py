@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import signed_log
-from .joins import fetch_small
 from .ranking import exact_percentiles
 
 LOG_CHANNEL, SIGNED_LOG_CHANNEL = "rain_mm", "rain_anom_mm"
@@ -73,7 +72,7 @@ def category_levels(rows: DataFrame, column: str, train: Column) -> DataFrame:
 def encode_category(rows: DataFrame, column: str, levels: DataFrame, name: str) -> DataFrame:
     """Index of the level; levels that training rows never showed share one bucket after the last."""
     size = levels.agg(F.count(F.lit(1)).cast("int").alias("n")).scalar()
-    looked_up = fetch_small(levels).withColumnsRenamed({column: "_level", "code": "_code"})
+    looked_up = levels.withColumnsRenamed({column: "_level", "code": "_code"})
     return (rows.withColumn("_level", F.coalesce(F.col(column), F.lit("unknown")))
             .join(looked_up, "_level", "left")
             .withColumn(name, F.coalesce("_code", size)).drop("_level", "_code"))

@@ -5,17 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 
-def fetch_small(df: DataFrame, most: int = 100_000) -> DataFrame:
-    """A broadcast copy of a table of at most ``most`` narrow rows; a larger one is returned as it is.
-
-    The size is checked before anything is broadcast, and beyond it Spark's own join choice applies.
-    """
-    table = df.limit(most + 1).toArrow()
-    if table.num_rows > most:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))
-
-
 def with_normals(df: DataFrame, normals: list[tuple[DataFrame, list[str]]]) -> DataFrame:
     """Left-join several tables of group normals, each on its own keys."""
     for table, keys in normals:

@@ -72,20 +72,22 @@ def nearest_cell(points: DataFrame, cells: DataFrame, lat0: float, lon0: float,
 
 
 def cells_in_radius(points: DataFrame, key: str, cells: DataFrame, radius_km: float, lat0: float, lon0: float,
-                    step: float, most_lat: float = 60.0) -> DataFrame:
+                    step: float) -> DataFrame:
     """``(key, cell)`` for cells whose centre is within ``radius_km`` on the local plane.
 
-    Candidates are the grid rows and columns the radius can reach, listed per point and joined by index; their
-    number depends on radius and grid step only (``most_lat`` bounds the shrinking of a degree of longitude).
+    Candidates are the grid rows and columns the radius can reach from the point's own latitude, listed per point
+    and joined by index. At the poles a degree of longitude has no length, so there they are the whole circle.
     """
     reach_rows = math.ceil(radius_km / (KM_PER_DEGREE * step)) + 1
-    reach_cols = math.ceil(radius_km / (KM_PER_DEGREE * step * math.cos(math.radians(most_lat)))) + 1
+    width_km = F.greatest(F.cos(F.radians("lat")), F.lit(1e-9)) * (KM_PER_DEGREE * step)
+    reach_cols = F.least(F.ceil(F.lit(radius_km) / width_km), F.lit(math.ceil(360 / step))).cast("int") + 1
     near = points.select(
         key, "lat", "lon", F.rint((F.col("lat") - lat0) / step).cast("int").alias("_r"),
         F.rint((F.col("lon") - lon0) / step).cast("int").alias("_c"))
     near = near.select("*", F.explode(F.sequence(F.col("_r") - reach_rows, F.col("_r") + reach_rows)).alias("row"))
     near = near.where(F.abs(F.col("row") * step + lat0 - F.col("lat")) * KM_PER_DEGREE <= radius_km)
-    near = near.select("*", F.explode(F.sequence(F.col("_c") - reach_cols, F.col("_c") + reach_cols)).alias("col"))
+    near = near.withColumn("_w", reach_cols)
+    near = near.select("*", F.explode(F.sequence(F.col("_c") - F.col("_w"), F.col("_c") + F.col("_w"))).alias("col"))
     centre = (F.col("row") * step + lat0, F.col("col") * step + lon0)
     near = near.where(geometry.flat_km_squared(F.col("lat"), F.col("lon"), *centre) <= radius_km ** 2)
     return near.join(cells.select("cell", "row", "col"), ["row", "col"]).select(key, "cell")
@@ -144,17 +146,18 @@ def inside_polygon(points: DataFrame, key: str, polygons: DataFrame, polygon: st
 
 
 def polygon_or_nearest(points: DataFrame, key: str, polygons: DataFrame, polygon: str, tile: float = 1.0,
-                       cutoff: float | None = None, farthest: float = 360.0) -> DataFrame:
+                       cutoff: float | None = None) -> DataFrame:
     """The covering polygon, else the nearest one; points beyond ``cutoff`` are left out.
 
     Unplaced points look for polygons within one tile, then two, then four and so on: a polygon found within the
     reach searched is the true nearest. Each round only sees the points the rounds before left over, and is written
-    out so that the next one does not repeat it. Distances equal to nine digits go to the first polygon by name.
+    out so that the next one does not repeat it; the last one reaches across all points and polygons. Distances
+    equal to nine digits go to the first polygon by name. A point without a place has no polygon.
     """
-    left = points.select(key, "lat", "lon")
+    left = points.select(key, "lat", "lon").where((F.abs("lat") < float("inf")) & (F.abs("lon") < float("inf")))
     found = [cut_lineage(inside_polygon(left, key, polygons, polygon, tile).withColumn("distance", F.lit(0.0)))]
     reach = tile if cutoff is None else cutoff
-    last = farthest if cutoff is None else cutoff
+    last = _extent(left, polygons) if cutoff is None else cutoff
     while True:
         left = cut_lineage(left.join(found[-1].select(key), key, "left_anti"))
         if left.isEmpty():
@@ -171,6 +174,15 @@ def polygon_or_nearest(points: DataFrame, key: str, polygons: DataFrame, polygon
     return reduce(DataFrame.unionByName, found)
 
 
+def _extent(points: DataFrame, polygons: DataFrame) -> float:
+    """A distance that nothing among the points and polygons exceeds, from one row of least and greatest places."""
+    box = geometry.bounding_box(F.col("ring"))
+    boxes = polygons.select(box.alias("b")).select("b.*")
+    corners = boxes.select(F.col("x0").alias("x"), F.col("y0").alias("y")).union(boxes.select("x1", "y1")).union(points.select("lon", "lat"))
+    ends = corners.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    return 0.0 if ends[0] is None else (ends[1] - ends[0]) + (ends[3] - ends[2])
+
+
 def clip_to_polygons(features: DataFrame, key: str, polygons: DataFrame, polygon: str, keep: Column,
                      tile: float = 1.0) -> DataFrame:
     """Attribute filter first, then tile and box, then the outline: features inside any polygon."""

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.constants import SEED
 from ..operators import encode
-from ..operators.joins import fetch_small
 
 
 def zero(rows: DataFrame) -> DataFrame:
@@ -21,11 +20,12 @@ def zero(rows: DataFrame) -> DataFrame:
 
 def season_mean(rows: DataFrame, train: Column, target: str = "delta") -> DataFrame:
     """Training mean of the row's season; a season without training rows gets the overall training mean."""
-    means = rows.where(train).groupBy("season").agg(F.avg(target).alias("_m"))
-    overall = rows.where(train).agg(F.avg(target).alias("m")).scalar()
-    # one row per season of the year
-    return rows.join(F.broadcast(means), "season", "left").withColumn(
-        "expected", F.coalesce("_m", overall)).drop("_m")
+    sums = rows.where(train).groupBy("season").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    # one row for the whole record: at most a season of the year each
+    table = sums.agg(F.map_from_entries(F.collect_list(F.struct("season", F.try_divide("_s", F.col("_n"))))).alias("_by"),
+                     (F.sum("_s") / F.sum("_n")).alias("_all"))
+    return rows.crossJoin(F.broadcast(table)).withColumn(
+        "expected", F.coalesce(F.col("_by")[F.col("season")], "_all")).drop("_by", "_all")
 
 
 def season_line(rows: DataFrame, train: Column, x: str = "interval_mm", target: str = "delta") -> DataFrame:
@@ -50,7 +50,7 @@ def _merge_rare(rows: DataFrame, column: str, train: Column, fewest: int) -> Dat
     level = F.coalesce(F.col(column), F.lit("unknown"))
     counts = (rows.where(train).groupBy(level.alias("_level")).agg(F.count(F.lit(1)).alias("_n"))
               .where(F.col("_n") < fewest).select("_level", F.lit(True).alias("_rare")))
-    return (rows.withColumn("_level", level).join(fetch_small(counts), "_level", "left")
+    return (rows.withColumn("_level", level).join(counts, "_level", "left")
             .withColumn(column, F.when(F.col("_rare"), "(rare)").otherwise(F.col("_level"))).drop("_level", "_rare"))
 
 

@@ -159,12 +159,15 @@ def regular_changes(campaigns: DataFrame) -> DataFrame:
 
 
 def backtest(campaigns: DataFrame, entities: DataFrame, table: DataFrame, start_year: int, end_year: int,
-             rate: DataFrame | None = None) -> DataFrame:
+             rate: DataFrame | None = None, rate_years: tuple[int, int] | None = None) -> DataFrame:
     """Chain the steps from each entity's last reading of ``start_year`` and compare with what was observed.
 
     Errors by whole years ahead for the driver alone, the driver with the group trend, no change, and the
-    entity's own linear trend over the four years before (at least six readings, else flat).
+    entity's own linear trend over the four years before (at least six readings, else flat). ``rate_years`` are the
+    years the group trend was fitted on; a trend that saw a year after the start is refused.
     """
+    if rate is not None and (rate_years is None or rate_years[1] > start_year):
+        raise ValueError(f"the rates must come from years up to {start_year}, not from {rate_years}")
     when = F.col("season_year") + dates.season_index(F.col("season")) / F.lit(4.0)
     known = campaigns.join(entities.select("entity", "cell", "grp", "state"), "entity")
     start = known.where((F.col("season_year") == start_year) & (F.col("season") == "NOV")).select(

@@ -64,19 +64,15 @@ def test_scenario_limits(world, spark, year, pct):
                                world[2], year, pct, (2007, 2009))
 
 
-@pytest.mark.parametrize("start,end,pct,add", [
-    ("2005-02-01", "2005-01-01", 10, 0), ("1999-01-01", "2005-01-01", 10, 0), ("2005-01-01", "2005-01-02", 0, 0),
-    ("2005-01-01", "2007-06-01", 10, 0)])
-def test_edit_requests_are_checked(start, end, pct, add):
+@pytest.mark.parametrize("start,end,factor,add", [
+    ("2005-02-01", "2005-01-01", 1.1, 0), ("1999-01-01", "2005-01-01", 1.1, 0), ("2005-01-01", "2005-01-02", 1, 0)])
+def test_edit_requests_are_checked(start, end, factor, add):
     with pytest.raises(ValueError):
-        scenario.check_edit(dt.date.fromisoformat(start), dt.date.fromisoformat(end), pct, add, dt.date(2000, 1, 1), dt.date(2045, 12, 31))
+        scenario.check_edits([scenario.Edit(dt.date.fromisoformat(start), dt.date.fromisoformat(end), factor, add)], dt.date(2000, 1, 1), dt.date(2045, 12, 31))
 
 
-def test_row_budget():
-    assert scenario.ensemble_size(100, 9, False, 23) == 1
-    assert scenario.ensemble_size(100, 9, True, 23) == 16
-    with pytest.raises(ValueError):
-        scenario.ensemble_size(2759, 9, True, 23)
+def test_long_edits_are_allowed():
+    scenario.check_edits([scenario.Edit(dt.date(2001, 1, 1), dt.date(2009, 1, 1), 1.5)], dt.date(2000, 1, 1), dt.date(2045, 12, 31))
 
 
 def test_edits_apply_in_order_and_never_below_zero(spark):
