@@ -58,7 +58,12 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def driver(spark: SparkSession, sf_dir: str, fill: float | None = 0.0) -> DataFrame:
-    return series.dense_calendar(shipped(spark, sf_dir), cells(spark, sf_dir), FIRST_DAY, LAST_DAY, "mm", fill)
+    """Every day of the years that the record touches."""
+    known = shipped(spark, sf_dir)
+    ends = known.agg(F.trunc(F.min("date"), "year").alias("first"),
+                     F.date_sub(F.add_months(F.trunc(F.max("date"), "year"), 12), 1).alias("last"))
+    # one row: the first and the last day
+    return series.dense_calendar(known, cells(spark, sf_dir).crossJoin(F.broadcast(ends)), F.col("first"), F.col("last"), "mm", fill)
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +110,8 @@ _CTES = {
     "cells": ((), "SELECT n_nationkey AS cell, n_nationkey // 5 AS row, n_nationkey % 5 AS col FROM nation"),
     "shipped": ((), """SELECT s_nationkey AS cell, CAST(l_shipdate AS DATE) AS date, sum(l_quantity) AS mm
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2"""),
-    "calendar": ((), """SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-31', INTERVAL 1 DAY)) AS DATE)
-        AS date"""),
+    "calendar": (("shipped",), """SELECT CAST(unnest(generate_series(date_trunc('year', (SELECT min(date) FROM shipped)),
+        date_trunc('year', (SELECT max(date) FROM shipped)) + INTERVAL 1 YEAR - INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS date"""),
     "sparse_driver": (("shipped", "calendar"), """SELECT n_nationkey AS cell, c.date, s.mm
         FROM nation CROSS JOIN calendar c LEFT JOIN shipped s ON s.cell = n_nationkey AND s.date = c.date"""),
     "driver": (("sparse_driver",), """SELECT cell, date, coalesce(mm, 0) AS mm,

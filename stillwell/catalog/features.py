@@ -286,16 +286,27 @@ def week_mean_array(spark, sf):
     return rounded(aggregates.array_means(rows, "a"))
 
 
-@query("patches", sql(["weeks"], f"""SELECT entity, date, CAST((week - 52) // 4 AS INT) AS patch,
-sum(rain_mm) AS rain_mm FROM weeks WHERE week >= 52 GROUP BY 1, 2, 3"""))
-def patches(spark, sf):
-    from ..functions.arrays import keep_last, patches as cut
-    last = keep_last(F.col("weeks.rain_mm"), 52)
+def _patches(spark, sf, kept, count):
+    from ..functions.arrays import patches as cut
     rows = cell_weekly(spark, sf).where(F.col("weeks").isNotNull())
-    long = rows.select("entity", "date", F.posexplode(cut(last, 4, 13)).alias("patch", "p"))
+    long = rows.select("entity", "date", F.posexplode(cut(kept(F.col("weeks.rain_mm")), 4, count)).alias("patch", "p"))
     return long.select("entity", "date", "patch", F.aggregate("p", F.lit(0.0), lambda a, v: a + v).alias("rain_mm"))
 
 
+@query("patches", sql(["weeks"], "SELECT entity, date, CAST(week // 4 AS INT) AS patch, sum(rain_mm) AS rain_mm FROM weeks GROUP BY 1, 2, 3"))
+def patches(spark, sf):
+    """All 104 weeks as 26 patches of four."""
+    return _patches(spark, sf, lambda a: a, 26)
+
+
+@query("patches_last_year", sql(["weeks"], """SELECT entity, date, CAST((week - 52) // 4 AS INT) AS patch,
+sum(rain_mm) AS rain_mm FROM weeks WHERE week >= 52 GROUP BY 1, 2, 3"""))
+def patches_last_year(spark, sf):
+    """The last 52 weeks alone."""
+    from ..functions.arrays import keep_last
+    return _patches(spark, sf, lambda a: keep_last(a, 52), 13)
+
+
 _NUM = ["gap", "interval_mm", "mm_365d", "balance"]
 analog.define("numeric_long", ("intervals", "table_rows"), "SELECT entity, date, split, feature, v FROM (SELECT entity, date, split, "
               "CAST(gap AS DOUBLE) AS gap, CAST(interval_mm AS DOUBLE) AS interval_mm, CAST(mm_365d AS DOUBLE) AS mm_365d, balance "

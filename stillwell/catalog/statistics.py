@@ -233,7 +233,7 @@ def day_cells(spark, sf):
     return analog.driver(spark, sf, fill=None).where((F.col("date") == F.to_date(F.lit("1998-07-26"))) & (F.col("mm") >= SHOWN_DAY_MM))
 
 
-@query("within_spread", sql(["with_driver"], f"""SELECT feature, {R('avg(s)', 5)} AS mean_std, {R('max(s)', 5)} AS max_std, count(s) AS entities FROM (SELECT entity, 'gap' AS feature,
+@query("within_spread", sql(["with_driver"], f"""SELECT feature, {R('avg(s)', 5)} AS mean_std, {R('median(s)', 5)} AS median_std, {R('max(s)', 5)} AS max_std, count(s) AS entities FROM (SELECT entity, 'gap' AS feature,
 stddev_samp(gap) AS s FROM with_driver GROUP BY 1 UNION ALL SELECT entity, 'balance', stddev_samp(balance) FROM with_driver GROUP BY 1 UNION ALL
 SELECT entity, 'interval_mm', stddev_samp(interval_mm) FROM with_driver GROUP BY 1) GROUP BY 1"""))
 def within_spread(spark, sf):

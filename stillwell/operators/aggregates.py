@@ -139,10 +139,13 @@ def weighted_centre(boxes: DataFrame, key: str) -> DataFrame:
 
 
 def mean_within_std(df: DataFrame, entity: str, columns: list[str]) -> DataFrame:
-    """How much each column varies inside an entity: mean and maximum of the per-entity spread."""
+    """How much each column varies inside an entity: mean, median and maximum of the per-entity spread.
+
+    The median is the built-in percentile, which counts equal values before it ranks them.
+    """
     spread = df.groupBy(entity).agg(*[F.stddev_samp(c).alias(c) for c in columns])
     long = spread.unpivot([entity], columns, "feature", "std")
-    return long.groupBy("feature").agg(F.avg("std").alias("mean_std"), F.max("std").alias("max_std"),
+    return long.groupBy("feature").agg(F.avg("std").alias("mean_std"), F.median("std").alias("median_std"), F.max("std").alias("max_std"),
                                        F.count("std").alias("entities"))
 
 

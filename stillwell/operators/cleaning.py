@@ -98,7 +98,7 @@ def keep_originals(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def exact_subsample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly ``n`` rows, the same for the same seed: those with the smallest hashes of their key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return df.orderBy(F.md5(F.concat_ws("|", F.lit(seed).cast("string"), F.col(key).cast("string"))), key).limit(n)
 
 
 def grouped_filter(df: DataFrame, keys: list[str], distinct: str, at_least: int) -> DataFrame:

@@ -20,11 +20,12 @@ def calendar_gaps(daily: DataFrame, cell: str = "cell", date: str = "date") -> D
         (F.datediff(F.max(date), F.min(date)) + 1 - F.countDistinct(date)).alias("missing"))
 
 
-def dense_calendar(sparse: DataFrame, cells: DataFrame, first: str, last: str, value: str, fill: float | None = 0.0,
+def dense_calendar(sparse: DataFrame, cells: DataFrame, first: str | Column, last: str | Column, value: str, fill: float | None = 0.0,
                    unit: str = "day", cell: str = "cell", date: str = "date") -> DataFrame:
-    """One row per cell and day (or month), ``fill`` where the record has none."""
-    calendar = cells.select(cell).distinct().withColumn(
-        date, F.explode(F.sequence(F.to_date(F.lit(first)), F.to_date(F.lit(last)), F.expr(f"interval 1 {unit}"))))
+    """One row per cell and day (or month), ``fill`` where the record has none; the ends are days or columns of ``cells``."""
+    ends = [F.to_date(F.lit(e)) if isinstance(e, str) else e for e in (first, last)]
+    calendar = cells.select(cell, ends[0].alias("_first"), ends[1].alias("_last")).distinct()
+    calendar = calendar.select(cell, F.explode(F.sequence("_first", "_last", F.expr(f"interval 1 {unit}"))).alias(date))
     joined = calendar.join(sparse.select(cell, date, value), [cell, date], "left")
     return joined if fill is None else joined.withColumn(value, F.coalesce(value, F.lit(float(fill))))
 

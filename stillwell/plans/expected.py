@@ -87,7 +87,7 @@ def fit_ridge(rows: DataFrame, numeric: list[str], categories: list[str], train:
 
 
 def fit_boosting(rows: DataFrame, numeric: list[str], categories: list[str], train: Column, valid: Column,
-                 rounds: int = 50, depth: int = 6, target: str = "delta") -> tuple[PipelineModel, DataFrame]:
+                 rounds: int = 800, depth: int = 6, target: str = "delta") -> tuple[PipelineModel, DataFrame]:
     """Boosted trees that stop early on the validation rows."""
     table = encoded(rows, numeric, train).withColumn("_valid", valid)
     codes = [f"{c}_code" for c in categories]
