@@ -116,6 +116,16 @@ def importances(model: PipelineModel, names: list[str], spark, top: int | None =
     return ordered if top is None else ordered.limit(top)
 
 
+def held_out_means(rows: DataFrame, fold: str, target: str = "delta") -> DataFrame:
+    """Season means fitted on the other folds: all sums less those of the row's own fold, so no fold is fitted apart."""
+    sums = rows.groupBy(fold, "season").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
+    whole = sums.groupBy("season").agg(F.sum("_s").alias("_all"), F.sum("_n").alias("_rows"))
+    means = sums.join(whole, "season").where(F.col("_rows") > F.col("_n")).select(
+        fold, "season", ((F.col("_all") - F.col("_s")) / (F.col("_rows") - F.col("_n"))).alias("expected"))
+    # one row per fold and season of the year
+    return rows.join(F.broadcast(means), [fold, "season"])
+
+
 def cross_validate(rows: DataFrame, fold: str, folds: int, fit_predict) -> DataFrame:
     """Hold out each fold in turn; ``fit_predict(train rows, held-out rows)`` adds ``expected`` to the latter."""
     from functools import reduce
