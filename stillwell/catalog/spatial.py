@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..functions import geometry
 from ..functions.constants import SEARCH_RADII_KM
 from ..operators import aggregates, places, spatial
-from ..plans import review
+from ..plans import features, review
 from . import analog
 from .analog import sql, table
 from .registry import R, query, rounded
@@ -42,6 +44,28 @@ def masked_bilinear(spark, sf):
         F.avg(F.col("v") * day / 1000).alias("weighted")))
 
 
+analog.define("point_series", ("corners", "sparse_driver"), """SELECT entity, min(date) AS f, list(mm ORDER BY date) AS l FROM (SELECT entity, date,
+    CASE WHEN sum(CASE WHEN mm IS NULL THEN 0 ELSE w END) > 1e-6 THEN coalesce(sum(mm * w), 0) / sum(CASE WHEN mm IS NULL THEN 0 ELSE w END) ELSE 0 END AS mm
+    FROM corners JOIN sparse_driver USING (cell) GROUP BY 1, 2) GROUP BY 1""")
+analog.define("point_rows", ("point_series", "changes"), """SELECT *, coalesce(list_sum(days), 0) AS interval_mm FROM (SELECT entity, date, season, split, gap, l[(prev_date - f + 2)::INT:d] AS days,
+    CASE WHEN d >= 30 THEN list_sum(l[d - 29:d]) END AS mm_30d, CASE WHEN d >= 730 THEN list_sum(l[d - 729:d]) END AS mm_730d,
+    coalesce(list_sum(l[greatest(make_date(y, 5::BIGINT, 31::BIGINT) - f + 2, 1)::INT:greatest(make_date(y, 9::BIGINT, 30::BIGINT) - f + 1, 0)::INT]), 0) AS monsoon_mm
+    FROM (SELECT c.*, f, l, (date - f + 1)::INT AS d, (year(date) - (month(date) < 10)::INT)::BIGINT AS y FROM changes c JOIN point_series USING (entity)))""")
+
+
+@query("bilinear_features", sql(["point_rows"], f"""SELECT r.entity, r.date, split, {R('interval_mm', 4)} AS interval_mm, {R('interval_mm / gap', 4)} AS interval_per_day, {R('mm_30d', 4)} AS mm_30d,
+{R('mm_730d', 4)} AS mm_730d, {R('monsoon_mm', 4)} AS monsoon_mm, len(list_filter(days, lambda x: x >= 2.5)) AS wet_days, len(list_filter(days, lambda x: x >= 35)) AS heavy_days,
+{R('list_max(days)', 4)} AS max_day_mm, {R('interval_mm - s.v', 4)} AS anom_season_mm FROM point_rows r
+LEFT JOIN (SELECT entity, season, avg(interval_mm) AS v FROM point_rows WHERE split = 'train' GROUP BY 1, 2) s ON s.entity = r.entity AND s.season = r.season"""))
+def bilinear_features(spark, sf):
+    """The feature table with the driver taken at each customer's place, between its four cells."""
+    quads = spatial.packed_quads(spatial.quad_days(analog.cells(spark, sf), analog.driver(spark, sf, fill=None), "mm", 5, 5))
+    rows = features.feature_table(analog.readings(spark, sf), analog.entities(spark, sf), quads, analog.TRAIN, analog.VALID, analog.TEST,
+                                  attach=partial(features.attach_point_driver, **GRID, n_lat=5, n_lon=5))
+    return rounded(rows.select("entity", "date", "split", "interval_mm", "interval_per_day", "mm_30d", "mm_730d", "monsoon_mm", "wet_days",
+                               "heavy_days", "max_day_mm", "anom_season_mm"), 4)
+
+
 analog.define("monthly_sparse", ("sparse_driver",), """SELECT cell, date_trunc('month', date)::DATE AS month, sum(coalesce(mm, 0)) AS mm,
     count(*) FILTER (WHERE mm > 2.5) AS wet_days FROM sparse_driver GROUP BY 1, 2""")
 

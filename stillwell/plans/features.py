@@ -11,11 +11,14 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.constants import GAP_DAYS, HEAVY_MM, TRAILING_DAYS, WET_MM
+from ..functions import dates, geometry
+from ..functions.constants import GAP_DAYS, HEAVY_MM, MIN_CORNER_WEIGHT, TRAILING_DAYS, WET_MM
 from ..functions.numbers import ratio_at_least_one, ratio_or_null
 from ..operators import cleaning, series, windows
 from ..operators.joins import lookup_salted
 
+CORNERS = ("00", "01", "10", "11")
+
 
 def changes(readings: DataFrame, largest: float | None = None, gap: tuple[int, int] = GAP_DAYS) -> DataFrame:
     """Readings with a usable previous one: ``delta`` (positive = fell) and ``gap`` in days."""
@@ -58,6 +61,61 @@ def attach_driver(rows: DataFrame, packed: DataFrame, only: list[str] | None = N
     return joined.select(*rows.columns, *[make().alias(n) for n, make in features.items() if only is None or n in only])
 
 
+def attach_point_driver(rows: DataFrame, quads: DataFrame, lat0: float, lon0: float, step: float, n_lat: int, n_lon: int,
+                        salts: int = 1) -> DataFrame:
+    """Driver features of each row from the driver at its own place, between the four cells around it.
+
+    ``rows`` have ``lat`` and ``lon``; ``quads`` has one row per grid square. Each reading takes the last
+    ``max(TRAILING_DAYS)`` days of its square as one slice and weighs the corners day by day, so there is no row per
+    entity and day. A day without a known corner counts as zero. Intervals are at most as long as the slice.
+    """
+    reach = max(TRAILING_DAYS)
+    corners = geometry.bilinear_corners(F.col("lat"), F.col("lon"), lat0, lon0, step, n_lat, n_lon)
+    placed = rows.withColumn("_c", corners).select(
+        *rows.columns, F.col("_c")[0]["row"].alias("row"), F.col("_c")[0]["col"].alias("col"),
+        *[F.col("_c")[i]["weight"].alias(f"w{n}") for i, n in enumerate(CORNERS)])
+    joined = lookup_salted(placed, quads, ["row", "col"], salts, ["entity", "date"])
+    end, start, gap = series.days_until(F.col("date")), series.days_until(F.col("prev_date")), F.col("gap")
+    size = F.least(end, F.lit(reach))
+
+    def value(day: Column) -> Column:
+        weight = [F.when(day[f"v{n}"].isNotNull(), F.col(f"w{n}")).otherwise(F.lit(0.0)) for n in CORNERS]
+        part = [F.coalesce(day[f"v{n}"] * F.col(f"w{n}"), F.lit(0.0)) for n in CORNERS]
+        total = weight[0] + weight[1] + weight[2] + weight[3]
+        return F.when(total > MIN_CORNER_WEIGHT, (part[0] + part[1] + part[2] + part[3]) / total).otherwise(F.lit(0.0))
+
+    last = F.transform(F.arrays_zip(*[F.slice(f"v{n}", end - size + 1, size).alias(f"v{n}") for n in CORNERS]), value)
+    sliced = joined.withColumn("_mm", last)
+
+    def days(after: Column, until: Column) -> Column:
+        """The days ``(after, until]`` of the slice, both counted from the start of the record."""
+        first = F.greatest(after - (end - size), F.lit(0))
+        return F.slice("_mm", first + 1, F.greatest(until - (end - size) - first, F.lit(0)))
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
+
+    def count(values: Column, least: float) -> Column:
+        return F.size(F.filter(values, lambda v: v >= least)).cast("long")
+
+    inside = days(start, end)
+    season = dates.monsoon_year(F.col("date"))
+    bounds = [series.days_until(F.make_date(season, F.lit(m), F.lit(d))) for m, d in ((5, 31), (9, 30))]
+    out = {"interval_mm": total(inside), "monsoon_mm": total(days(*bounds)), "wet_days": count(inside, WET_MM),
+           "heavy_days": count(inside, HEAVY_MM), "max_day_mm": F.array_max(inside)}
+    # each trailing sum adds the days that the one before it did not reach
+    steps = list(zip([0, *TRAILING_DAYS], TRAILING_DAYS))
+    out |= {f"_mm_{d}": total(days(end - d, end - before)) for before, d in steps}
+    summed = sliced.select(*rows.columns, end.alias("_end"), *[c.alias(n) for n, c in out.items()])
+    trailing, so_far = {}, F.lit(0.0)
+    for d in TRAILING_DAYS:
+        so_far = so_far + F.col(f"_mm_{d}")
+        trailing[f"mm_{d}d"] = F.when(F.col("_end") >= d, so_far)
+    return summed.withColumns({"interval_per_day": F.col("interval_mm") / gap, **trailing,
+                               "per_wet_day": ratio_at_least_one(F.col("interval_mm"), F.col("wet_days"))}).drop(
+        "_end", *[f"_mm_{d}" for d in TRAILING_DAYS])
+
+
 def history(rows: DataFrame, value: str = "interval_mm") -> DataFrame:
     """Lags 1-3 and full sums of the 4, 8 and 12 rows before, in surviving readings."""
     return windows.prior_sums(windows.row_lags(rows, value, [1, 2, 3]), value, [4, 8, 12])
@@ -89,10 +147,14 @@ def anomalies(rows: DataFrame, ratio_limit: float | None = None) -> DataFrame:
 
 
 def feature_table(readings: DataFrame, entities: DataFrame, packed: DataFrame, train: tuple[int, int],
-                  valid: tuple[int, int], test: tuple[int, int], largest: float | None = None) -> DataFrame:
-    """Everything above in its order, with split labels and the season transition."""
+                  valid: tuple[int, int], test: tuple[int, int], largest: float | None = None,
+                  attach: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Everything above in its order, with split labels and the season transition.
+
+    ``attach`` joins rows and packed driver; without it each entity takes the series of its own cell.
+    """
     rows = changes(readings, largest).join(entities, "entity")
-    rows = history(attach_driver(rows, packed))
+    rows = history((attach or attach_driver)(rows, packed))
     year = F.col("season_year")
     rows = rows.where(cleaning.known_years(year, train, valid, test)).withColumn(
         "split", cleaning.year_split(year, train, valid))
