@@ -272,8 +272,8 @@ def test_network_gradient():
     lanes, state = lm.Lanes.of(docs), np.zeros((3, lm.HIDDEN))
 
     def loss():
-        shares = net.log_shares(net.states(lanes.inputs, lanes.starts, state).astype(np.float64))
-        return -(shares[np.arange(len(shares)), lanes.targets.ravel()] * lanes.valid.ravel()).sum() / lanes.valid.sum()
+        chances = net.log_chances(net.states(lanes.inputs, lanes.starts, state).astype(np.float64), lanes.targets)
+        return -(chances * lanes.valid.ravel()).sum() / lanes.valid.sum()
 
     slopes, _ = net.gradient(lanes.inputs, lanes.starts, lanes.targets, lanes.valid, state)
     for name, value in net.p.items():
