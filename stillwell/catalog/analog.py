@@ -60,10 +60,9 @@ def shipped(spark: SparkSession, sf_dir: str) -> DataFrame:
 def driver(spark: SparkSession, sf_dir: str, fill: float | None = 0.0) -> DataFrame:
     """Every day of the years that the record touches."""
     known = shipped(spark, sf_dir)
-    ends = known.agg(F.trunc(F.min("date"), "year").alias("first"),
-                     F.date_sub(F.add_months(F.trunc(F.max("date"), "year"), 12), 1).alias("last"))
-    # one row: the first and the last day
-    return series.dense_calendar(known, cells(spark, sf_dir).crossJoin(F.broadcast(ends)), F.col("first"), F.col("last"), "mm", fill)
+    first = known.agg(F.trunc(F.min("date"), "year").alias("d")).scalar()
+    last = known.agg(F.date_sub(F.add_months(F.trunc(F.max("date"), "year"), 12), 1).alias("d")).scalar()
+    return series.dense_calendar(known, cells(spark, sf_dir), first, last, "mm", fill)
 
 
 def packed(spark: SparkSession, sf_dir: str) -> DataFrame:

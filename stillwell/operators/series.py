@@ -22,7 +22,7 @@ def calendar_gaps(daily: DataFrame, cell: str = "cell", date: str = "date") -> D
 
 def dense_calendar(sparse: DataFrame, cells: DataFrame, first: str | Column, last: str | Column, value: str, fill: float | None = 0.0,
                    unit: str = "day", cell: str = "cell", date: str = "date") -> DataFrame:
-    """One row per cell and day (or month), ``fill`` where the record has none; the ends are days or columns of ``cells``."""
+    """One row per cell and day (or month), ``fill`` where the record has none; the ends are days or scalar columns."""
     ends = [F.to_date(F.lit(e)) if isinstance(e, str) else e for e in (first, last)]
     calendar = cells.select(cell, ends[0].alias("_first"), ends[1].alias("_last")).distinct()
     calendar = calendar.select(cell, F.explode(F.sequence("_first", "_last", F.expr(f"interval 1 {unit}"))).alias(date))

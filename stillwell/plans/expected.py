@@ -21,11 +21,10 @@ def zero(rows: DataFrame) -> DataFrame:
 def season_mean(rows: DataFrame, train: Column, target: str = "delta") -> DataFrame:
     """Training mean of the row's season; a season without training rows gets the overall training mean."""
     sums = rows.where(train).groupBy("season").agg(F.sum(target).alias("_s"), F.count(target).alias("_n"))
-    # one row for the whole record: at most a season of the year each
-    table = sums.agg(F.map_from_entries(F.collect_list(F.struct("season", F.try_divide("_s", F.col("_n"))))).alias("_by"),
-                     (F.sum("_s") / F.sum("_n")).alias("_all"))
-    return rows.crossJoin(F.broadcast(table)).withColumn(
-        "expected", F.coalesce(F.col("_by")[F.col("season")], "_all")).drop("_by", "_all")
+    # at most one entry per season of the year
+    by_season = sums.agg(F.map_from_entries(F.collect_list(F.struct("season", F.try_divide("_s", F.col("_n"))))).alias("m")).scalar()
+    overall = sums.agg(F.try_divide(F.sum("_s"), F.sum("_n")).alias("m")).scalar()
+    return rows.withColumn("expected", F.coalesce(by_season[F.col("season")], overall))
 
 
 def season_line(rows: DataFrame, train: Column, x: str = "interval_mm", target: str = "delta") -> DataFrame:

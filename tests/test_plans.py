@@ -165,6 +165,16 @@ def test_backtest_is_exact_when_the_steps_are(world, table, spark):
     assert all(r["rain_only_mae"] == pytest.approx(0, abs=1e-9) and r["persistence_mae"] > 0 for r in out)
 
 
+def test_backtest_refuses_rates_that_saw_the_future(world, table, spark):
+    _, people, _ = world
+    readings = spark.createDataFrame([], "entity int, season_year int, season string, date date, value double")
+    rate = spark.createDataFrame([("g", "s", "NOV", 0.1)], "grp string, state string, season string, rate double")
+    for years in (None, (2003, 2007)):
+        with pytest.raises(ValueError):
+            forecast.backtest(readings, people, table, 2006, 2009, rate, years)
+    forecast.backtest(readings, people, table, 2006, 2009, rate, (2003, 2006))
+
+
 def _residual_rows(spark, rows):
     return spark.createDataFrame(rows, "grp string, state string, season_year int, entity int, residual double").withColumns(
         {"delta": F.col("residual") + 1, "expected": F.lit(1.0), "season": F.lit("NOV")})
