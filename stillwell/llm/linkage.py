@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stillwell.llm.shared import hot_join, staged
 
-SMALL = 64
+SMALL = 8
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,20 +34,24 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     """Confirmed links (a, b) that connect all that candidates can connect, and the groups (node, component).
 
     ``members`` (bucket, node): nodes that share a bucket are candidates. ``verify`` keeps the pairs (a, b) that are
-    truly linked. In each round some nodes of a bucket lead it (first the smallest; then all in a bucket of at most
-    SMALL nodes, and 16, 256, ... in larger ones) and are paired with its other nodes of other groups. A bucket is
-    done when all its nodes are in one group or all but one have led. So two linked nodes of a bucket always end in one group, no bucket emits all its pairs
-    unless nothing in it is linked, and no task ever holds a bucket.
+    truly linked. A node weighs as much as its buckets hold: the text that others were made from meets most of them.
+    In each round some nodes of a bucket lead it, the heaviest first (one; then all in a bucket of at most SMALL nodes,
+    and 4, 16, ... in larger ones), and are paired with its other nodes of other groups. A bucket is done when all its
+    nodes are in one group or all but one have led. So two linked nodes of a bucket always end in one group, no bucket
+    emits all its pairs unless nothing in it is linked, and no task ever holds a bucket.
     """
     spread = F.xxhash64("node")
     sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    rows = members.count()
-    open_ = staged(hot_join(members, sizes.select("bucket", F.col("low").alias("lead"), "n"), ["bucket"], "n", rows, spread, "inner"))
-    pairs = open_.filter("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
+    sized = staged(hot_join(members, sizes.select("bucket", "n"), ["bucket"], "n", members.count(), spread, "inner"))
+    weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
+    weighed = staged(sized.drop("n").join(weights, "node"))
+    leads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n"))
+    open_ = staged(hot_join(weighed, leads.select("bucket", F.col("top.node").alias("lead"), "n"), ["bucket"], "n", weighed.count(), spread, "inner"))
+    pairs = open_.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     links = staged(verify(pairs).select("a", "b"))
     groups = components(links)
-    state = open_.select("bucket", "node", (F.col("node") == F.col("lead")).alias("led"))
-    leaders = 16
+    state = open_.select("bucket", "node", "weight", (F.col("node") == F.col("lead")).alias("led"))
+    leaders = 4
     while True:
         named = staged(state.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
@@ -55,9 +59,9 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         left = staged(hot_join(named, mixed.select("bucket", "n"), ["bucket"], "n", named.count(), spread, "inner"))
         if left.isEmpty():
             return links, groups
-        # in a large bucket the smallest waiting node of each of some parts leads next
+        # in a large bucket the heaviest waiting node of each of some parts leads next
         part = F.when(F.col("n") <= SMALL, spread).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
-        next_ = left.filter(~F.col("led")).groupBy("bucket", part.alias("part")).agg(F.min(F.struct("node", "component", "n")).alias("lead"))
+        next_ = left.filter(~F.col("led")).groupBy("bucket", part.alias("part")).agg(F.max(F.struct("weight", "node", "component", "n")).alias("lead"))
         next_ = staged(next_.select("bucket", "lead.n", F.col("lead.node").alias("lead"), F.col("lead.component").alias("lead_component")))
         follow = hot_leaders(left, next_).filter("component <> lead_component")
         pairs = follow.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
@@ -66,8 +70,9 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
             links = staged(links.union(found).distinct())
             groups = components(links)
         chosen = next_.select("bucket", F.col("lead").alias("node"), F.lit(True).alias("chosen"))
-        state = left.select("bucket", "node", "led").join(chosen, ["bucket", "node"], "left").select("bucket", "node", (F.col("led") | F.coalesce("chosen", F.lit(False))).alias("led"))
-        leaders *= 16
+        state = left.select("bucket", "node", "weight", "led").join(chosen, ["bucket", "node"], "left")
+        state = state.select("bucket", "node", "weight", (F.col("led") | F.coalesce("chosen", F.lit(False))).alias("led"))
+        leaders *= 4
 
 
 def hot_leaders(left: DataFrame, leads: DataFrame) -> DataFrame:
