@@ -122,7 +122,7 @@ def test_near_groups_of_odd_rows(spark):
 
 def plain_simhash(line):
     import xxhash
-    hashes = [xxhash.xxh64_intdigest(w) for w in line.split()]
+    hashes = [xxhash.xxh64_intdigest(w) for w in [w for w in line.split() if len(w) > 3] or line.split()]
     return sum(1 << k for k in range(64) if 2 * sum(h >> k & 1 for h in hashes) > len(hashes))
 
 
