@@ -152,7 +152,8 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
     parts = manifest.groupBy("part").agg(F.sum("ids").alias("part_ids"))
     parts = parts.select("part", F.coalesce(F.sum("part_ids").over(before), F.lit(0)).alias("before"))
     files = manifest.join(parts, "part").select("path", (F.col("before") + F.col("start_in_part")).alias("start"))
-    return files.repartition("path").mapInArrow(reader(folder), DOCUMENTS)
+    # as many tasks as files: their names alone are too few bytes to be dealt out otherwise
+    return files.repartition(max(1, manifest.count()), "path").mapInArrow(reader(folder), DOCUMENTS)
 
 
 def round_trip(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -182,7 +182,8 @@ def write_archives(pages: DataFrame, folder: str, revisit_bytes: int = 1000, sam
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     """One row per record of the archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return manifest.repartition("path").mapInArrow(reader(folder), RECORDS)
+    # as many tasks as archives: their names alone are too few bytes to be dealt out otherwise
+    return manifest.repartition(max(1, manifest.count()), "path").mapInArrow(reader(folder), RECORDS)
 
 
 def archived(pages: DataFrame) -> DataFrame:
