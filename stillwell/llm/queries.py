@@ -84,7 +84,7 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op3_line_dedup")
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_report(table(spark, sf_dir, "documents"))
+    return line_report(table(spark, sf_dir, "documents"), search="letters")
 
 
 @query("op5_toxicity")
