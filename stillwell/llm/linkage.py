@@ -42,11 +42,11 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     """
     spread = F.xxhash64("node")
     sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
-    sized = staged(hot_join(members, sizes.select("bucket", "n"), ["bucket"], "n", members.count(), spread, "inner"))
+    sized = staged(hot_join(members, sizes.select("bucket", "n"), ["bucket"], "n", members.count(), how="inner"))
     weights = sized.groupBy("node").agg(F.sum("n").alias("weight"))
     weighed = staged(sized.drop("n").join(weights, "node"))
     leads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n"))
-    open_ = staged(hot_join(weighed, leads.select("bucket", F.col("top.node").alias("lead"), "n"), ["bucket"], "n", weighed.count(), spread, "inner"))
+    open_ = staged(hot_join(weighed, leads.select("bucket", F.col("top.node").alias("lead"), "n"), ["bucket"], "n", weighed.count(), how="inner"))
     pairs = open_.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
     links = staged(verify(pairs).select("a", "b"))
     groups = components(links)
@@ -56,7 +56,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         named = staged(state.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
                                             F.count(F.when(~F.col("led"), 1)).alias("waiting")).filter("low < high AND waiting > 1")
-        left = staged(hot_join(named, mixed.select("bucket", "n"), ["bucket"], "n", named.count(), spread, "inner"))
+        left = staged(hot_join(named, mixed.select("bucket", "n"), ["bucket"], "n", named.count(), how="inner"))
         if left.isEmpty():
             return links, groups
         # in a large bucket the heaviest waiting node of each of some parts leads next

@@ -109,7 +109,7 @@ def confirmed(similarity: int):
 def with_packed(pairs: DataFrame, texts: DataFrame, side: str) -> DataFrame:
     """Put the packed text of one side beside each pair; a node in many pairs is spread by copies of its text."""
     counts = pairs.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-    dealt = hot_join(pairs, counts, [side], "n", pairs.count(), F.xxhash64("a", "b"), "inner")
+    dealt = hot_join(pairs, counts, [side], "n", pairs.count(), how="inner")
     salts = F.ceil(F.col("n") / 512).cast("int")
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("a", "b"), salts).cast("int")).drop("n")
     named = texts.select(F.col("node").alias(side), F.col("packed").alias(f"packed_{side}"))
@@ -146,7 +146,7 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     _, groups = bucket_links(members, verify)
     named = sets.join(groups, "node", "left").select("set_id", "copies", F.coalesce("component", "node").alias("component"))
-    found = hot_join(rows, named, ["set_id"], "copies", rows.count(), F.xxhash64("doc_id"))
+    found = hot_join(rows, named, ["set_id"], "copies", rows.count())
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
     return found.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 #: A key is hot if it holds more than this share of the rows; so there are fewer than 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
-SALTS = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -46,20 +45,18 @@ def staged(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, spread: Column, how: str = "left") -> DataFrame:
+def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, spread: Column | None = None, how: str = "left") -> DataFrame:
     """Join one ``right`` row per key to all its ``left`` rows, whatever share of them one key holds.
 
-    ``weight`` counts the left rows of a key and ``rows`` all of them. Keys above HOT_SHARE of the rows are at most
-    1 / HOT_SHARE, so they are broadcast; their left rows are then dealt by ``spread`` and not by the key.
+    ``weight`` counts the left rows of a key and ``rows`` all of them. Keys above HOT_SHARE of the rows are fewer than
+    1 / HOT_SHARE, so they are broadcast: their left rows meet them where they lie, and are dealt by ``spread`` after
+    that where it is given. Only the rows of other keys are dealt by the key. Rows without a key match nothing.
     """
-    values = [c for c in right.columns if c not in keys]
-    packed = right.select(*keys, F.struct(*values).alias("_cold"), F.col(weight).alias("_n"))
-    hot = F.broadcast(packed.filter(F.col("_n") > rows * HOT_SHARE).select(*keys, F.col("_cold").alias("_hot")))
-    cold = packed.filter(F.col("_n") <= rows * HOT_SHARE).select(*keys, "_cold", F.lit(0).alias("_salt"))
-    once = left.join(hot, keys, "left")
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(SALTS))).cast("int")
-    both = once.withColumn("_salt", salt).join(cold, [*keys, "_salt"], "left")
-    found = F.coalesce("_hot", "_cold")
-    if how == "inner":
-        both = both.filter(found.isNotNull())
-    return both.select(*left.columns, *[found[c].alias(c) for c in values])
+    out = [*left.columns, *[c for c in right.columns if c not in keys]]
+    hot = staged(right.filter(F.col(weight) > rows * HOT_SHARE).coalesce(1))
+    if hot.isEmpty():
+        return left.join(right, keys, how).select(*out)
+    here = left.join(F.broadcast(hot), keys, "inner").select(*out)
+    cold = right.filter(F.col(weight) <= rows * HOT_SHARE)
+    rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
+    return (here if spread is None else here.repartition(spread)).union(rest.select(*out))

@@ -63,7 +63,9 @@ class PieceEncoder(dict):
 
     def fresh(self, piece: str) -> bytes:
         stem = piece.rstrip(CLOSING)
-        if stem != piece and stem[-1:].isalpha():
+        # by its last letter as it is encoded: lower case may leave a mark there, which joins what follows
+        end = stem[-1:].lower() if self.lowers else stem[-1:]
+        if stem != piece and end.isalpha():
             return self[stem] + self[piece[len(stem):]]
         if self.lowers:
             return self.word(piece) if piece.isalpha() and piece.islower() and max(piece) < PLAIN_BELOW else self.whole(piece)
