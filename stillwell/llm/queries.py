@@ -10,12 +10,14 @@ import public_tokenizers
 
 from stillwell.llm import chunk_bpe, token_files, toxicity
 from stillwell.llm.ann import nearest_vectors
+from stillwell.llm.centroids import cluster_vectors
 from stillwell.llm.exact_dedup import exact_groups
 from stillwell.llm.line_dedup import line_report
 from stillwell.llm.lm import language_scores
 from stillwell.llm.minhash import near_groups
 from stillwell.llm.packing import pack_documents
 from stillwell.llm.warc import archived
+from stillwell.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -101,3 +103,30 @@ def op7_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_language_model")
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_scores(table(spark, sf_dir, "documents"))
+
+
+def _cluster_sql(clusters: int = 16, rounds: int = 3) -> str:
+    gap = "list_sum(list_transform(list_zip(v, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+    parts = ["""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+        WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: isfinite(x))) = 64)""",
+             f"""c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1)::INT AS cluster, v AS c FROM v
+        QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id)) <= {clusters})"""]
+    for n in range(rounds + 1):
+        parts.append(f"""a{n} AS MATERIALIZED (SELECT vec_id, v, min(struct_pack(d := d, k := cluster)) AS best FROM
+        (SELECT vec_id, v, cluster, {gap} AS d FROM v CROSS JOIN c{n}) GROUP BY vec_id, v)""")
+        if n < rounds:
+            parts.append(f"""c{n + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.c, c{n}.c) AS c FROM c{n} LEFT JOIN (SELECT k, list(((t - ((t % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM
+        (SELECT best.k AS k, i, sum(v[i])::BIGINT AS t, count(*) AS n FROM a{n} CROSS JOIN range(1, 65) g(i) GROUP BY 1, 2) GROUP BY k) m ON m.k = cluster)""")
+    return f"""WITH {', '.join(parts)}
+    SELECT vec_id, best.k AS cluster, best.d AS distance, (sum(best.d) OVER (PARTITION BY best.k))::BIGINT AS cluster_inertia, (sum(best.d) OVER ())::BIGINT AS inertia,
+        sha256(array_to_string(c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} ON cluster = best.k"""
+
+
+@query("op13_centroids", _cluster_sql())
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
