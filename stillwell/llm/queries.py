@@ -16,6 +16,7 @@ from stillwell.llm.line_dedup import line_report
 from stillwell.llm.lm import language_scores
 from stillwell.llm.minhash import near_groups
 from stillwell.llm.packing import pack_documents
+from stillwell.llm.span_dedup import repeat_report
 from stillwell.llm.warc import archived
 from stillwell.llm.whitening import whiten
 
@@ -130,3 +131,8 @@ def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_whitening")
 def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_suffix_dedup")
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_report(table(spark, sf_dir, "documents"))
