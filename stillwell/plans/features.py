@@ -31,24 +31,33 @@ def changes(readings: DataFrame, largest: float | None = None, gap: tuple[int, i
 def pack_driver(daily: DataFrame, value: str = "mm") -> DataFrame:
     """Packed driver; a missing day counts as zero from here on."""
     mm = F.coalesce(F.col(value), F.lit(0.0))
-    return series.pack(daily, {"mm": mm}, {
-        "cum": mm, "cum_wet": (mm >= WET_MM).cast("int"), "cum_heavy": (mm >= HEAVY_MM).cast("int")})
+    return series.pack(daily, {"mm": mm}, prefixes(mm))
 
 
-def driver_features(date: Column, previous: Column, gap: Column) -> dict[str, Callable[[], Column]]:
-    """Driver features of one interval by name, to be selected where the packed driver is joined."""
+def prefixes(mm: Column) -> dict[str, Column]:
+    """What a packed driver keeps running totals of."""
+    return {"cum": mm, "cum_wet": (mm >= WET_MM).cast("int"), "cum_heavy": (mm >= HEAVY_MM).cast("int")}
+
+
+def driver_features(date: Column, previous: Column, gap: Column, side: str = "") -> dict[str, Callable[[], Column]]:
+    """Driver features of one interval by name, to be selected where the packed driver is joined.
+
+    ``side`` ends the names of the packed columns, where a row holds more than one driver.
+    """
+    cum, cum_wet, cum_heavy, mm = (f"{c}{side}" for c in ("cum", "cum_wet", "cum_heavy", "mm"))
+
     def total() -> Column:
-        return series.span_sum("cum", previous, date)
+        return series.span_sum(cum, previous, date)
 
     def wet() -> Column:
-        return series.span_sum("cum_wet", previous, date).cast("long")
+        return series.span_sum(cum_wet, previous, date).cast("long")
 
-    trailing = {f"mm_{d}d": partial(series.trailing_sum, "cum", date, d) for d in TRAILING_DAYS}
+    trailing = {f"mm_{d}d": partial(series.trailing_sum, cum, date, d) for d in TRAILING_DAYS}
     return {
         "interval_mm": total, "interval_per_day": lambda: total() / gap, **trailing,
-        "monsoon_mm": lambda: series.monsoon_sum("cum", date), "wet_days": wet,
-        "heavy_days": lambda: series.span_sum("cum_heavy", previous, date).cast("long"),
-        "max_day_mm": lambda: series.span_max("mm", previous, date),
+        "monsoon_mm": lambda: series.monsoon_sum(cum, date), "wet_days": wet,
+        "heavy_days": lambda: series.span_sum(cum_heavy, previous, date).cast("long"),
+        "max_day_mm": lambda: series.span_max(mm, previous, date),
         "per_wet_day": lambda: ratio_at_least_one(total(), wet()),
     }
 

@@ -8,7 +8,7 @@ from ..functions import dates
 from ..functions.constants import SEASONS, SHIFTS_PCT, SKILL_YEARS
 from ..operators import series, windows
 from ..session import cut_lineage
-from . import expected
+from . import features, scoring
 from .scenario import with_step_facts
 
 
@@ -16,27 +16,32 @@ def season_array() -> Column:
     return F.array(*[F.lit(s) for s in SEASONS])
 
 
-def regular_intervals(packed: DataFrame, first_year: int, last_year: int) -> DataFrame:
+def regular_intervals(packed: DataFrame, first_year: int, last_year: int, also: list[str] | None = None) -> DataFrame:
     """Interval driver of every cell at every regular reading of the years: ``(cell, year, season, date, interval_mm)``.
 
-    A reading whose interval starts before the record is left out.
+    A reading whose interval starts before the record is left out. ``also`` names further driver features, or ``gap``.
     """
     days = F.flatten(F.transform(F.sequence(F.lit(first_year), F.lit(last_year)),
                                  lambda y: F.transform(season_array(), lambda s: dates.reading_date(y, s))))
     rows = with_step_facts(packed.withColumn("date", F.explode(days)))          # four rows a year and cell
     total = series.span_sum("cum", F.col("prev_date"), F.col("date"))
+    gap = F.datediff("date", "prev_date")
+    made = features.driver_features(F.col("date"), F.col("prev_date"), gap)
+    more = [(gap if c == "gap" else made[c]()).alias(c) for c in also or () if c != "interval_mm"]
     return rows.where(F.col("prev_date") >= F.date_sub("first_day", 1)).select(
-        "cell", "year", "season", "date", "prev_date", total.alias("interval_mm"))
+        "cell", "year", "season", "date", "prev_date", total.alias("interval_mm"), *more)
 
 
-def step_table(intervals: DataFrame, lines: DataFrame, shifts: list[int] | None = None) -> DataFrame:
+def step_table(intervals: DataFrame, model, shifts: list[int] | None = None) -> DataFrame:
     """Expected change per cell, year and season at each driver shift in percent.
 
-    The model reads nothing of an entity but its cell, so entities of a cell share their rows.
+    The model (one of ``scoring`` or a table of season lines) reads nothing of an entity but its cell, so entities of
+    a cell share their rows.
     """
+    model = scoring.as_model(model)
     each = intervals.withColumn("shift", F.explode(F.array(*[F.lit(s) for s in shifts or SHIFTS_PCT])))
-    x = F.col("interval_mm") * (1 + F.col("shift") / F.lit(100.0))
-    return expected.apply_line(each, lines, x, "step").select("cell", "year", "season", "shift", "step")
+    factor = 1 + F.col("shift") / F.lit(100.0)
+    return model.score(each, "step", scoring.scaled(model, factor)).select("cell", "year", "season", "shift", "step")
 
 
 def at_shift(table: DataFrame, pct: float, shifts: list[int] | None = None) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions import numbers
 from ..functions.constants import RESPONSE_FACTORS, WRONG_WAY_TOLERANCE
 from ..operators import aggregates, ranking, windows
-from . import expected
+from . import scoring
 
 
 def ensemble_weights(rows: DataFrame, observed: str, first: str, second: str, steps: int = 20) -> DataFrame:
@@ -33,15 +33,16 @@ def error_correlation(rows: DataFrame, observed: str, first: str, second: str) -
                     F.count(F.lit(1)).alias("rows"))
 
 
-def response(rows: DataFrame, lines: DataFrame, x: str = "interval_mm", factors: list[float] | None = None) -> DataFrame:
+def response(rows: DataFrame, model, factors: list[float] | None = None) -> DataFrame:
     """How the expected change moves when the driver is scaled: mean, 10 % and 90 %, and the wrong-way share.
 
-    More driver must not predict a larger fall, nor less of it a smaller one.
+    More driver must not predict a larger fall, nor less of it a smaller one. ``model`` is one of ``scoring`` or a
+    table of season lines; every feature that grows with the driver is scaled.
     """
+    model = scoring.as_model(model)
     each = rows.withColumn("factor", F.explode(F.array(*[F.lit(f) for f in factors or RESPONSE_FACTORS])))
-    base = expected.apply_line(each, lines, x, "_base")
-    moved = expected.apply_line(base, lines, F.col(x) * F.col("factor"), "_new").withColumn(
-        "_d", F.col("_new") - F.col("_base"))
+    base = model.score(each, "_base")
+    moved = model.score(base, "_new", scoring.scaled(model, F.col("factor"))).withColumn("_d", F.col("_new") - F.col("_base"))
     wrong = F.when(F.col("factor") > 1, F.col("_d") > WRONG_WAY_TOLERANCE).otherwise(F.col("_d") < -WRONG_WAY_TOLERANCE)
     means = moved.groupBy("factor").agg(F.count(F.lit(1)).alias("rows"), F.avg("_d").alias("mean"),
                                         F.avg(wrong.cast("double")).alias("wrong_way"))
@@ -95,3 +96,25 @@ def fold_metrics(rows: DataFrame, fold: str) -> DataFrame:
     mean = per.agg(F.lit(-1).alias(fold), F.sum("rows").alias("rows"),
                    *[F.avg(c).alias(c) for c in ("mae", "rmse", "r2", "bias")])
     return per.unionByName(mean)
+
+
+def ranking_agreement(rows: DataFrame, by: str, keys: list[str], score: str, top: int) -> DataFrame:
+    """Agreement of the rankings that each value of ``by`` gives the keys: one row per pair of values.
+
+    Rank correlation (ties share their mean place) over the keys that every value of ``by`` ranks, and how many of the
+    ``top`` highest they share. There is one row per key and value, and the keys of one value are ranked together, so
+    keys are groups such as districts, not entities.
+    """
+    scores = F.map_from_entries(F.collect_list(F.struct(by, score)))
+    every = rows.agg(F.count_distinct(by)).scalar()
+    known = rows.where(F.col(score).isNotNull()).groupBy(*keys).agg(scores.alias("_all")).where(F.size("_all") == every)
+    each = known.select(*keys, F.explode("_all").alias(by, score))
+    over = W.partitionBy(by)
+    place = F.rank().over(over.orderBy(F.col(score))) + (F.count(F.lit(1)).over(W.partitionBy(by, score)) - 1) / 2
+    best = F.row_number().over(over.orderBy(F.desc(score), *keys)) <= top
+    ranked = each.select(*keys, by, place.alias("_rank"), best.alias("_top"))
+    both = ranked.select(*keys, F.col(by).alias("first"), F.col("_rank").alias("_a"), F.col("_top").alias("_ta")).join(
+        ranked.select(*keys, F.col(by).alias("second"), F.col("_rank").alias("_b"), F.col("_top").alias("_tb")), keys)
+    return both.where("first < second").groupBy("first", "second").agg(
+        numbers.correlation(F.col("_a"), F.col("_b")).alias("spearman"), F.count(F.lit(1)).alias("common"),
+        F.count_if(F.col("_ta") & F.col("_tb")).alias(f"top{top}"))
