@@ -31,6 +31,7 @@ def main() -> None:
     for name in sys.argv[1:] or HEADLINE:
         runs = []
         for attempt in range(repeats + 1):
+            spark.catalog.clearCache()                              # no run may read what an earlier one kept
             start = time.perf_counter()
             QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             if attempt:

@@ -3,42 +3,42 @@
 A plain ``row_number() over (order by ...)`` or ``percentile`` pulls a group through a single task. Here
 values are pre-aggregated, cut into ranges whose split points come from one approximate pass, ranked inside a
 range and moved up by the row counts of the ranges before it. The result is exact whatever the split points are.
+Split points are a scalar subquery of the plan itself: nothing runs while a plan is built.
 """
 
 from __future__ import annotations
 
-from itertools import pairwise
-
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..session import cut_lineage
+from ..session import kept
+
 
+def range_count(df: DataFrame, ranges: int | None = None) -> int:
+    return ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-def range_splits(df: DataFrame, value: str, ranges: int | None = None) -> list[float]:
-    """Increasing split points of ``value`` for about ``ranges`` equal parts; a short list of numbers."""
-    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if ranges < 2:
-        return []
-    points = df.approxQuantile(value, [i / ranges for i in range(1, ranges)], 1 / (4 * ranges))
-    return sorted(set(points))
 
+def range_splits(df: DataFrame, value: str, ranges: int) -> Column:
+    """Split points of ``value`` for about ``ranges`` equal parts, as an array that is looked up while the query runs."""
+    shares = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    return df.agg(F.percentile_approx(value, shares, F.lit(4 * ranges)).alias("splits")).scalar()
 
-def with_range(df: DataFrame, value: str, splits: list[float], name: str = "_range") -> DataFrame:
-    """Number of the range that holds ``value``; larger values never get a smaller number."""
-    if not splits:
+
+def with_range(df: DataFrame, value: str, splits: Column | None, ranges: int, name: str = "_range") -> DataFrame:
+    """Number of the range that holds ``value``, by halving; larger values never get a smaller number."""
+    if ranges < 2 or splits is None:
         return df.withColumn(name, F.lit(0))
-    bounds = [float("-inf"), *splits, float("inf")]
-    assert all(a < b for a, b in pairwise(bounds)), "split points must increase"
-    cut = Bucketizer(splits=bounds, inputCol="_x", outputCol=name, handleInvalid="keep")
-    return cut.transform(df.withColumn("_x", F.col(value).cast("double"))).drop("_x").withColumn(
-        name, F.col(name).cast("int"))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((ranges - 1).bit_length()))])
+    cut = df.withColumn("_splits", splits).withColumn("_v", F.col(value))
+
+    def halve(low: Column, step: Column) -> Column:
+        return F.when(F.get(F.col("_splits"), low + step - 1) < F.col("_v"), low + step).otherwise(low)
+
+    return cut.withColumn(name, F.aggregate(steps, F.lit(0), halve)).drop("_splits", "_v")
 
 
 def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct ``(keys, value)`` with ``rows``, written out once: the steps after it read it several times."""
-    known = df.where(F.col(value).isNotNull())
-    return cut_lineage(known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows")))
+    """Distinct ``(keys, value)`` with ``rows``, kept: the steps after it read them several times."""
+    return kept(df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("rows")))
 
 
 def cumulative_counts(counted: DataFrame, keys: list[str], value: str, ranges: int | None = None) -> DataFrame:
@@ -47,7 +47,9 @@ def cumulative_counts(counted: DataFrame, keys: list[str], value: str, ranges: i
     ``counted`` has one row per ``(keys, value)`` with ``rows``. Ranges split distinct values, so a value that
     half of all rows share is still one row here.
     """
-    cut = with_range(counted.select(*keys, value, "rows"), value, range_splits(counted, value, ranges))
+    ranges = range_count(counted, ranges)
+    counted = counted.select(*keys, value, "rows")
+    cut = with_range(counted, value, range_splits(counted, value, ranges) if ranges > 1 else None, ranges)
     # at most one row per group and range, so these windows stay small
     per_range = cut.groupBy(*keys, "_range").agg(F.sum("rows").alias("_in_range"))
     group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
@@ -92,15 +94,22 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probabilities:
 
 
 def spearman(df: DataFrame, x: str, y: str, name: str = "spearman", ranges: int | None = None) -> DataFrame:
-    """Rank correlation of two columns over the rows where both are known (average ranks for ties)."""
+    """Rank correlation of two columns over the rows where both are known (average ranks for ties).
+
+    Both columns are ranked in one pass, as two groups of one stacked column.
+    """
     known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = cut_lineage(known.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")))
+    pairs = kept(known.groupBy(x, y).agg(F.count(F.lit(1)).alias("_n")))
+
+    both = F.explode(F.array(*[F.struct(F.lit(c).alias("_axis"), F.col(c).cast("double").alias("_value")) for c in (x, y)]))
+    counted = kept(pairs.select("_n", both.alias("_e")).groupBy("_e._axis", "_e._value").agg(F.sum("_n").alias("rows")))
+    ranks = kept(cumulative_counts(counted, ["_axis"], "_value", ranges).select("_axis", "_value", _average_rank().alias("_r")))
 
-    def ranks(value: str, out: str) -> DataFrame:
-        counted = pairs.groupBy(value).agg(F.sum("_n").alias("rows"))
-        return cumulative_counts(counted, [], value, ranges).select(value, _average_rank().alias(out))
+    def of(column: str, out: str) -> DataFrame:
+        return ranks.where(F.col("_axis") == column).select(F.col("_value").alias(out.replace("r", "v")), F.col("_r").alias(out))
 
-    ranked = pairs.join(ranks(x, "_rx"), x).join(ranks(y, "_ry"), y)
+    ranked = (pairs.select(F.col(x).cast("double").alias("_vx"), F.col(y).cast("double").alias("_vy"), "_n")
+              .join(of(x, "_rx"), "_vx").join(of(y, "_ry"), "_vy"))
     n = F.sum("_n")
     mean = (n + 1) / 2            # every set of average ranks has this mean
     dx, dy = F.sum(F.col("_n") * F.col("_rx") * F.col("_ry")), F.sum(F.col("_n") * F.col("_rx") * F.col("_rx"))

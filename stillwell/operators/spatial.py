@@ -55,13 +55,11 @@ def masked_bilinear(points: DataFrame, key: str, quads: DataFrame, name: str, la
     holds many points is spread over as many tasks as the record has years.
     """
     corners = geometry.bilinear_corners(F.col("lat"), F.col("lon"), lat0, lon0, step, n_lat, n_lon)
-    bounds = quads.agg(F.min(F.year(date)).alias("a"), F.max(F.year(date)).alias("b")).first()
-    if bounds["a"] is None:
-        bounds = {"a": 0, "b": 0}
+    years = quads.agg(F.sequence(F.min(F.year(date)), F.max(F.year(date))).alias("years")).scalar()
     placed = points.select(key, corners.alias("_c")).select(
         key, F.col("_c")[0]["row"].alias("row"), F.col("_c")[0]["col"].alias("col"),
         *[F.col("_c")[i]["weight"].alias(f"w{n}") for i, n in enumerate(("00", "01", "10", "11"))],
-        F.explode(F.sequence(F.lit(bounds["a"]), F.lit(bounds["b"]))).alias("_year"))
+        F.explode(years).alias("_year"))
     joined = placed.join(quads.withColumn("_year", F.year(date)), ["row", "col", "_year"])
     corners4 = ("00", "01", "10", "11")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
@@ -31,6 +32,14 @@ def local_session(app: str = "stillwell", cpus: str = "8", shuffle_partitions: i
     return spark
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """``df`` for steps that read it several times: computed by the first of them, spilled to disk, recomputed where lost.
+
+    Nothing runs now. It is held until ``spark.catalog.clearCache()``, so it is for what was aggregated first.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and continue from the written files.
 
