@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numbers import signed_log
-from .ranking import exact_percentiles
+from ..session import kept
+from .ranking import exact_percentiles, range_count, with_range
 
 LOG_CHANNEL, SIGNED_LOG_CHANNEL = "rain_mm", "rain_anom_mm"
 
@@ -63,10 +64,24 @@ def saved(stats: DataFrame, key: str = "feature") -> dict[str, dict[str, float]]
     return {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in stats.collect()}
 
 
-def category_levels(rows: DataFrame, column: str, train: Column) -> DataFrame:
-    """Sorted training levels with an index from 0: the vocabulary of a category, one row per level."""
-    levels = rows.where(train).select(F.coalesce(F.col(column), F.lit("unknown")).alias(column)).distinct()
-    return levels.withColumn("code", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(column)) - 1)
+def category_levels(rows: DataFrame, column: str, train: Column, ranges: int | None = None) -> DataFrame:
+    """Sorted training levels with an index from 0: the vocabulary of a category, one row per level.
+
+    Levels are numbered inside ranges and moved up by the sizes of the ranges before, so no task holds them all.
+    Split points come from the levels with the smallest md5, a few per range; any would give the same numbers.
+    """
+    levels = kept(rows.where(train).select(F.coalesce(F.col(column), F.lit("unknown")).alias(column)).distinct())
+    ranges = range_count(levels, ranges)
+    some = levels.orderBy(F.md5(column), column).limit(16 * ranges).agg(F.array_sort(F.collect_list(column)).alias("l"))
+    places = F.sequence(F.lit(1), F.lit(max(ranges - 1, 1)))
+    splits = some.select(F.transform(places, lambda i: F.get("l", F.floor(i * F.size("l") / F.lit(ranges)).cast("int")))).scalar()
+    cut = with_range(levels, column, splits if ranges > 1 else None, ranges)
+    sizes = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))             # one row per range
+    line = W.partitionBy(F.lit(0)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(line), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(W.partitionBy("_range").orderBy(column)) - 1
+    return cut.withColumn("_inside", inside).join(F.broadcast(starts), "_range").select(
+        column, (F.col("_start") + F.col("_inside")).cast("int").alias("code"))
 
 
 def encode_category(rows: DataFrame, column: str, levels: DataFrame, name: str) -> DataFrame:

@@ -64,9 +64,30 @@ def trailing_sum(prefix: str, date: Column, d: int) -> Column:
     return F.when(end >= d, F.get(F.col(prefix), end) - F.get(F.col(prefix), F.greatest(end - d, F.lit(0))))
 
 
-def span_max(series: str, after: Column, until: Column) -> Column:
+def range_maxima(values: Column) -> Column:
+    """Maxima of every run of 1, 2, 4, ... values, one array per length: entry ``i`` of level ``k`` covers ``i .. i + 2**k - 1``.
+
+    A level comes from the one before it. Runs that leave the record at its end cover what is left of it; unknown
+    values count for nothing. A record of n days has about ``n * log2(n)`` entries.
+    """
+    levels = F.greatest(F.length(F.bin(F.size(values))) - 1, F.lit(0)).cast("int")
+
+    def doubled(table: Column, k: Column) -> Column:
+        last = F.element_at(table, -1)
+        ahead = F.slice(last, F.call_function("shiftleft", F.lit(1), k - 1) + 1, F.size(last))
+        return F.concat(table, F.array(F.zip_with(last, ahead, lambda a, b: F.greatest(a, b))))
+
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.array(values), doubled)
+
+
+def span_max(peaks: str, after: Column, until: Column) -> Column:
+    """Largest value of the days ``(after, until]``, from two runs of :func:`range_maxima` that overlap; null for no day."""
     start, end = days_until(after), days_until(until)
-    return F.array_max(F.slice(F.col(series), start + 1, F.greatest(end - start, F.lit(0))))
+    days = end - start
+    level = (F.length(F.bin(days)) - 1).cast("int")
+    runs = F.get(F.col(peaks), level)
+    return F.when(days > 0, F.greatest(F.get(runs, start), F.get(runs, end - F.call_function("shiftleft", F.lit(1), level))))
 
 
 def monsoon_sum(prefix: str, date: Column) -> Column:
@@ -96,20 +117,28 @@ def interval_sums_by_join(intervals: DataFrame, daily: DataFrame, value: str, na
 
 
 def latest_at_or_before(queries: DataFrame, events: DataFrame, key: list[str], at: str, event_date: str,
-                        columns: list[str]) -> DataFrame:
+                        columns: list[str], segment_days: int = 64) -> DataFrame:
     """As-of look-up on sparse events: the columns of the last event on or before each query day.
 
     Both sides are stacked and the last known event is carried forward along the key's days, so no range
-    join is needed. Queries of one key and day are looked up once and joined back; the window therefore holds
-    at most one row per key and day of either side, and ``events`` must be unique on ``(key, event_date)``.
+    join is needed. Queries of one key and day are looked up once and joined back, and ``events`` must be unique on
+    ``(key, event_date)``. The carry has two levels: inside segments of ``segment_days`` days, and from the last event
+    of each segment to the ones after it. So a hot key, or no key at all, is spread over as many tasks as it has
+    segments, and only one row a segment is ever put in line.
     """
     stacked = queries.select(*key, F.col(at).alias("_day"), F.lit(1).alias("_kind"),
                              F.lit(None).alias("_event")).distinct()
     payload = F.struct(F.col(event_date).alias("event_date"), *columns)
     stacked = events.select(*key, F.col(event_date).alias("_day"), F.lit(0).alias("_kind"),
                             payload.alias("_event")).unionByName(stacked)
-    by = (W.partitionBy(*key) if key else W.partitionBy(F.lit(0))).orderBy("_day", "_kind")
-    carried = stacked.withColumn("_event", F.last("_event", ignorenulls=True).over(by)).where("_kind = 1")
+    segment = F.floor(F.unix_date("_day") / F.lit(segment_days)).alias("_segment")
+    stacked = stacked.select("*", segment)
+    inside = W.partitionBy(*key, "_segment").orderBy("_day", "_kind")
+    carried = stacked.withColumn("_event", F.last("_event", ignorenulls=True).over(inside)).where("_kind = 1")
+    ends = stacked.groupBy(*key, "_segment").agg(F.max_by("_event", F.when(F.col("_kind") == 0, F.col("_day"))).alias("_end"))
+    line = (W.partitionBy(*key) if key else W.partitionBy(F.lit(0))).orderBy("_segment").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select(*key, "_segment", F.last("_end", ignorenulls=True).over(line).alias("_before"))
+    carried = carried.join(before, [*key, "_segment"], "left").withColumn("_event", F.coalesce("_event", "_before"))
     found = carried.select(*key, F.col("_day").alias(at), "_event.event_date",
                            *[F.col(f"_event.{c}").alias(c) for c in columns])
     return queries.join(found, [*key, at], "left")

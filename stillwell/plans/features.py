@@ -31,7 +31,11 @@ def changes(readings: DataFrame, largest: float | None = None, gap: tuple[int, i
 def pack_driver(daily: DataFrame, value: str = "mm") -> DataFrame:
     """Packed driver; a missing day counts as zero from here on."""
     mm = F.coalesce(F.col(value), F.lit(0.0))
-    return series.pack(daily, {"mm": mm}, prefixes(mm))
+    return with_peaks(series.pack(daily, {"mm": mm}, prefixes(mm)))
+
+
+def with_peaks(packed: DataFrame, side: str = "") -> DataFrame:
+    return packed.withColumn(f"peaks{side}", series.range_maxima(F.col(f"mm{side}")))
 
 
 def prefixes(mm: Column) -> dict[str, Column]:
@@ -44,7 +48,7 @@ def driver_features(date: Column, previous: Column, gap: Column, side: str = "")
 
     ``side`` ends the names of the packed columns, where a row holds more than one driver.
     """
-    cum, cum_wet, cum_heavy, mm = (f"{c}{side}" for c in ("cum", "cum_wet", "cum_heavy", "mm"))
+    cum, cum_wet, cum_heavy, peaks = (f"{c}{side}" for c in ("cum", "cum_wet", "cum_heavy", "peaks"))
 
     def total() -> Column:
         return series.span_sum(cum, previous, date)
@@ -57,7 +61,7 @@ def driver_features(date: Column, previous: Column, gap: Column, side: str = "")
         "interval_mm": total, "interval_per_day": lambda: total() / gap, **trailing,
         "monsoon_mm": lambda: series.monsoon_sum(cum, date), "wet_days": wet,
         "heavy_days": lambda: series.span_sum(cum_heavy, previous, date).cast("long"),
-        "max_day_mm": lambda: series.span_max(mm, previous, date),
+        "max_day_mm": lambda: series.span_max(peaks, previous, date),
         "per_wet_day": lambda: ratio_at_least_one(total(), wet()),
     }
 
