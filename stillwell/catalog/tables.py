@@ -85,7 +85,7 @@ def lenient_cast(spark, sf):
 
 
 @query("year_split", sql(["readings"], """SELECT entity, date, CASE WHEN season_year BETWEEN 1995 AND 1998 THEN 'train'
-WHEN season_year = 1999 THEN 'valid' ELSE 'test' END AS split FROM readings WHERE season_year BETWEEN 1995 AND 2001"""))
+WHEN season_year = 1999 THEN 'valid' ELSE 'test' END AS split FROM readings WHERE season_year >= 1995"""))
 def year_split(spark, sf):
     y = F.col("season_year")
     rows = analog.readings(spark, sf).where(cleaning.known_years(y, analog.TRAIN, analog.VALID, analog.TEST))
@@ -268,23 +268,24 @@ def dense_calendar(spark, sf):
 
 
 @query("dense_months", sql(["shipped"], """SELECT n_nationkey AS cell, m.month AS month, coalesce(s.mm, 0) AS mm FROM nation CROSS JOIN
-(SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '2001-12-01', INTERVAL 1 MONTH)) AS DATE) AS month) m
+(SELECT CAST(unnest(generate_series(date_trunc('year', (SELECT min(date) FROM shipped)), date_trunc('year', (SELECT max(date) FROM shipped)) + INTERVAL 11 MONTH, INTERVAL 1 MONTH)) AS DATE) AS month) m
 LEFT JOIN (SELECT cell, date_trunc('month', date)::DATE AS month, sum(mm) AS mm FROM shipped GROUP BY 1, 2) s
 ON s.cell = n_nationkey AND s.month = m.month"""))
 def dense_months(spark, sf):
-    monthly = aggregates.monthly(analog.shipped(spark, sf), "mm", F.col("mm") > 0, ["cell"])
-    return series.dense_calendar(monthly, analog.cells(spark, sf), "1995-01-01", "2001-12-01", "mm", 0.0, "month", date="month")
+    known = analog.shipped(spark, sf)
+    monthly = aggregates.monthly(known, "mm", F.col("mm") > 0, ["cell"])
+    return series.dense_calendar(monthly, analog.cells(spark, sf), *analog.calendar_ends(known), "mm", 0.0, "month", date="month")
 
 
-@query("pack_grid", sql(["sparse_driver"], """SELECT cell, date, CASE WHEN mm IS NOT NULL THEN CAST(round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) AS SMALLINT) END AS mm10
-FROM sparse_driver WHERE cell IN (SELECT cell FROM sparse_driver WHERE mm IS NOT NULL)"""))
+@query("pack_grid", sql(["shipped", "sparse_driver"], """SELECT cell, date, CASE WHEN mm IS NOT NULL THEN CAST(round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) AS SMALLINT) END AS mm10
+FROM sparse_driver JOIN (SELECT DISTINCT cell FROM shipped WHERE mm IS NOT NULL) USING (cell)"""))
 def pack_grid(spark, sf):
     sevenths = analog.driver(spark, sf, fill=None).withColumn("mm", F.col("mm") / 7)
     return grid.pack_grid(sevenths, "mm", ("cell",))
 
 
-@query("unpack_grid", sql(["sparse_driver"], f"""SELECT cell, date, CASE WHEN mm IS NOT NULL THEN {R('round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) / 10')} END AS mm FROM sparse_driver
-WHERE cell IN (SELECT cell FROM sparse_driver WHERE mm IS NOT NULL)"""))
+@query("unpack_grid", sql(["shipped", "sparse_driver"], f"""SELECT cell, date, CASE WHEN mm IS NOT NULL THEN {R('round_even(least(greatest(mm / 7, 0), 3000) * 10, 0) / 10')} END AS mm FROM sparse_driver
+JOIN (SELECT DISTINCT cell FROM shipped WHERE mm IS NOT NULL) USING (cell)"""))
 def unpack_grid(spark, sf):
     packed = pack_grid(spark, sf)
     old = packed.withColumn("mm10", F.coalesce("mm10", F.lit(-9999)))
@@ -324,10 +325,11 @@ def column_pruned_scan(spark, sf):
 
 @query("union_years", sql(["readings"], f"SELECT entity, date, {R('value')} AS value FROM readings"))
 def union_years(spark, sf):
-    """The readings put together from one piece per year."""
+    """The readings put together from one piece per year; the first and the last take what lies beyond."""
     from functools import reduce
     rows = analog.readings(spark, sf)
-    pieces = [rows.where(F.col("season_year") == y) for y in range(analog.FIRST_YEAR, analog.LAST_YEAR + 1)]
+    year = F.least(F.greatest(F.col("season_year"), F.lit(analog.FIRST_YEAR)), F.lit(analog.LAST_YEAR))
+    pieces = [rows.where(year == y) for y in range(analog.FIRST_YEAR, analog.LAST_YEAR + 1)]
     return rounded(reduce(lambda a, b: a.unionByName(b), pieces).select("entity", "date", "value"))
 
 
