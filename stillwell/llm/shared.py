@@ -9,8 +9,10 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key is hot if it holds more than this share of the rows; so there are fewer than 1 / HOT_SHARE hot keys.
+#: A key is hot if it holds more than this share of the rows and more than LEAST_HOT of them; so there are fewer than
+#: 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
+LEAST_HOT = 1000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -48,15 +50,17 @@ def staged(df: DataFrame) -> DataFrame:
 def hot_join(left: DataFrame, right: DataFrame, keys: list[str], weight: str, rows: int, spread: Column | None = None, how: str = "left") -> DataFrame:
     """Join one ``right`` row per key to all its ``left`` rows, whatever share of them one key holds.
 
-    ``weight`` counts the left rows of a key and ``rows`` all of them. Keys above HOT_SHARE of the rows are fewer than
-    1 / HOT_SHARE, so they are broadcast: their left rows meet them where they lie, and are dealt by ``spread`` after
-    that where it is given. Only the rows of other keys are dealt by the key. Rows without a key match nothing.
+    ``weight`` counts the left rows of a key and ``rows`` all of them. Hot keys are fewer than 1 / HOT_SHARE, so they
+    pass through the driver and are broadcast: their left rows meet them where they lie, and are dealt by ``spread``
+    after that where it is given. Only the rows of other keys are dealt by the key. Rows without a key match nothing.
     """
     out = [*left.columns, *[c for c in right.columns if c not in keys]]
-    hot = staged(right.filter(F.col(weight) > rows * HOT_SHARE).coalesce(1))
-    if hot.isEmpty():
+    least = max(rows * HOT_SHARE, LEAST_HOT)
+    found = right.filter(F.col(weight) > least).collect() if rows > least else []
+    if not found:
         return left.join(right, keys, how).select(*out)
+    hot = left.sparkSession.createDataFrame(found, right.schema)
     here = left.join(F.broadcast(hot), keys, "inner").select(*out)
-    cold = right.filter(F.col(weight) <= rows * HOT_SHARE)
+    cold = right.filter(F.col(weight) <= least)
     rest = left.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys, how)
     return (here if spread is None else here.repartition(spread)).union(rest.select(*out))

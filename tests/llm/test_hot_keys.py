@@ -8,6 +8,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
+from stillwell.llm import shared
 from stillwell.llm.shared import hot_join
 from stillwell.llm.tokens import BYTE_PIECES, WORD_PIECES, encoder
 
@@ -31,7 +32,8 @@ def test_a_hot_key_is_split(spark):
             spark.conf.set(k, v)
 
 
-def test_hot_join_keeps_rows_without_a_key(spark):
+def test_hot_join_keeps_rows_without_a_key(spark, monkeypatch):
+    monkeypatch.setattr(shared, "LEAST_HOT", 0)
     left = spark.createDataFrame([(None, 1), (1, 2), (1, 3), (2, 4), (3, 5)], "key long, v long")
     right = spark.createDataFrame([(1, 2, "x"), (2, 1, "y")], "key long, n long, w string")
     got = hot_join(left, right, ["key"], "n", 1500).select("key", "v", "w").collect()
