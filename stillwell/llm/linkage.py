@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stillwell.llm.shared import hot_join, staged
@@ -30,7 +30,8 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None,
+                 alike: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) that connect all that candidates can connect, and the groups (node, component).
 
     ``members`` (bucket, node): nodes that share a bucket are candidates. ``verify`` keeps the pairs (a, b) that are
@@ -38,7 +39,9 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     In each round some nodes of a bucket lead it, the heaviest first (one; then all in a bucket of at most SMALL nodes,
     and 4, 16, ... in larger ones), and are paired with its other nodes of other groups. A bucket is done when all its
     nodes are in one group or all but one have led. So two linked nodes of a bucket always end in one group, no bucket
-    emits all its pairs unless nothing in it is linked, and no task ever holds a bucket.
+    emits all its pairs unless nothing in it is linked, and no task ever holds a bucket. A pair is verified once,
+    however many buckets it shares. Where ``sketches`` (node, sketch) are given, pairs after the first round, which
+    has one per node and bucket, go on only where ``alike`` holds for both sketches; it must not refuse linked pairs.
     """
     spread = F.xxhash64("node")
     sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
@@ -48,7 +51,8 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
     leads = weighed.groupBy("bucket").agg(F.max(F.struct("weight", "node")).alias("top"), F.count(F.lit(1)).alias("n"))
     open_ = staged(hot_join(weighed, leads.select("bucket", F.col("top.node").alias("lead"), "n"), ["bucket"], "n", weighed.count(), how="inner"))
     pairs = open_.filter("node <> lead").select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
-    links = staged(verify(pairs).select("a", "b"))
+    tried = staged(pairs)
+    links = staged(verify(tried).select("a", "b"))
     groups = components(links)
     state = open_.select("bucket", "node", "weight", (F.col("node") == F.col("lead")).alias("led"))
     leaders = 4
@@ -63,8 +67,18 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         part = F.when(F.col("n") <= SMALL, spread).otherwise(F.pmod(F.xxhash64("node", F.lit(leaders)), F.lit(leaders)))
         next_ = left.filter(~F.col("led")).groupBy("bucket", part.alias("part")).agg(F.max(F.struct("weight", "node", "component", "n")).alias("lead"))
         next_ = staged(next_.select("bucket", "lead.n", F.col("lead.node").alias("lead"), F.col("lead.component").alias("lead_component")))
-        follow = hot_leaders(left, next_).filter("component <> lead_component")
+        # a node that has led met all of its bucket then
+        waiting = left.filter(~F.col("led")).select("bucket", "node", "component", "n")
+        near = F.col("component") != F.col("lead_component")
+        heads = next_
+        if sketches is not None:
+            waiting = waiting.join(sketches, "node")
+            heads = heads.join(sketches.select(F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
+            near &= alike(F.col("sketch"), F.col("lead_sketch"))
+        follow = hot_leaders(waiting, heads, near)
         pairs = follow.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()
+        pairs = staged(pairs.join(tried, ["a", "b"], "left_anti"))
+        tried = tried.union(pairs)
         found = staged(verify(pairs).select("a", "b"))
         if not found.isEmpty():
             links = staged(links.union(found).distinct())
@@ -75,9 +89,10 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -
         leaders *= 4
 
 
-def hot_leaders(left: DataFrame, leads: DataFrame) -> DataFrame:
-    """Members next to each leader of their bucket; the members of a bucket are dealt over several tasks by its size."""
+def hot_leaders(left: DataFrame, leads: DataFrame, near: Column) -> DataFrame:
+    """Members next to each leader of their bucket that ``near`` holds for; the members of a bucket are dealt over
+    several tasks by its size."""
     salts = F.least(F.lit(256), F.ceil(F.col("n") / 512)).cast("int")
     dealt = left.withColumn("salt", F.pmod(F.xxhash64("node"), salts).cast("int")).drop("n")
-    copies = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n")
-    return dealt.join(copies, ["bucket", "salt"])
+    copies = leads.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("n").withColumnsRenamed({"bucket": "lead_bucket", "salt": "lead_salt"})
+    return dealt.join(copies, (F.col("bucket") == F.col("lead_bucket")) & (F.col("salt") == F.col("lead_salt")) & near)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 #: A key is hot if it holds more than this share of the rows and more than LEAST_HOT of them; so there are fewer than
 #: 1 / HOT_SHARE hot keys.
 HOT_SHARE = 1 / 1000
-LEAST_HOT = 1000
+LEAST_HOT = 100
 
 
 def shared_folder(spark: SparkSession) -> str:
