@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.constants import DEPTH_LIMITS, MIN_READINGS, READING_DAY, SEASON_MONTH
 from ..functions.strings import tidy_category
@@ -20,10 +20,19 @@ STATION_COLUMNS = {
 
 
 def read_wide(spark: SparkSession, path: str, row: str = "file_row") -> DataFrame:
-    """CSV with trimmed headings and a row id that grows in file order."""
+    """CSV with trimmed headings and row numbers from 0 in file order, files in order of their paths.
+
+    Tasks take files by size, not by name, so ids of tasks say nothing across files. A block of a file is read by one
+    task in order: its rows count on from the rows of all blocks before it. The running count has one row per block.
+    """
     raw = spark.read.csv(path, header=True)
-    raw = raw.toDF(*[c.strip() for c in raw.columns])
-    return raw.withColumn(row, F.monotonically_increasing_id())
+    names = [c.strip() for c in raw.columns]
+    placed = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
+    placed = placed.toDF(*names, "_file", "_block").withColumn("_id", F.monotonically_increasing_id())
+    before = W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1)
+    blocks = placed.groupBy("_file", "_block").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    blocks = blocks.select("_file", "_block", (F.coalesce(F.sum("_rows").over(before), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return placed.join(blocks, ["_file", "_block"]).select(*[F.col(f"`{c}`") for c in names], (F.col("_id") + F.col("_shift")).alias(row))
 
 
 def campaign_columns(df: DataFrame) -> list[str]:

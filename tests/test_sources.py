@@ -103,3 +103,28 @@ def test_spec_guard_and_checks(spark):
     with pytest.raises(ValueError):
         quality.require(quality.quality_checks(df, "well_uid", ["x"], {}))
     quality.require(quality.quality_checks(df.limit(1), "well_uid", [], {"well_uid": ["a"]}))
+
+
+def test_rows_are_numbered_in_file_order_over_files_and_blocks(spark, tmp_path):
+    """Three files of unequal size, the largest last and cut into blocks; one place is in all of them."""
+    rows, number = [], 0
+    for name, count in [("a", 3), ("b", 40), ("c", 900)]:
+        lines = []
+        for k in range(count):
+            lat = "10.00001" if k % 3 == 0 else f"{20 + number / 100:.4f}"
+            lines.append(f"{name}{k}, {lat},70.5")
+            rows.append((f"{name}{k}", number, lat == "10.00001"))
+            number += 1
+        (tmp_path / f"{name}.csv").write_text("Station Name , Latitude,Longitude\n" + "\n".join(lines) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        rows_in = wide.read_wide(spark, str(tmp_path))
+        assert rows_in.select(F.spark_partition_id()).distinct().count() > 1
+        got = cleaning.coordinate_key(rows_in.selectExpr("`Station Name` AS s", "cast(trim(Latitude) AS double) AS lat", "cast(Longitude AS double) AS lon", "file_row"),
+                                      "lat", "lon", "file_row").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert sorted((r.s, r.file_row) for r in got) == sorted((s, n) for s, n, _ in rows)
+    shared = [s for s, _, same in rows if same]
+    assert {r.s: r.well_uid for r in got if r.s in set(shared)} == {s: f"10.0_70.5_{k}" for k, s in enumerate(shared)}
