@@ -30,7 +30,7 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: DataFrame | None = None,
+def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], sketches: Callable[[DataFrame], DataFrame] | None = None,
                  alike: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Confirmed links (a, b) that connect all that candidates can connect, and the groups (node, component).
 
@@ -40,8 +40,9 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     and 4, 16, ... in larger ones), and are paired with its other nodes of other groups. A bucket is done when all its
     nodes are in one group or all but one have led. So two linked nodes of a bucket always end in one group, no bucket
     emits all its pairs unless nothing in it is linked, and no task ever holds a bucket. A pair is verified once,
-    however many buckets it shares. Where ``sketches`` (node, sketch) are given, pairs after the first round, which
-    has one per node and bucket, go on only where ``alike`` holds for both sketches; it must not refuse linked pairs.
+    however many buckets it shares. Where ``sketches`` is given, it is called once, with the nodes that are left after
+    the first round (node, crowded: whether the node is in a bucket of over SMALL nodes), and gives (node, sketch);
+    later pairs go on only where ``alike`` holds for both sketches, and it must not refuse linked pairs.
     """
     spread = F.xxhash64("node")
     sizes = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n")).filter("low < high")
@@ -55,7 +56,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     links = staged(verify(tried).select("a", "b"))
     groups = components(links)
     state = open_.select("bucket", "node", "weight", (F.col("node") == F.col("lead")).alias("led"))
-    leaders = 4
+    leaders, drawn = 4, None
     while True:
         named = staged(state.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n"),
@@ -72,8 +73,10 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         near = F.col("component") != F.col("lead_component")
         heads = next_
         if sketches is not None:
-            waiting = waiting.join(sketches, "node")
-            heads = heads.join(sketches.select(F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
+            if drawn is None:
+                drawn = staged(sketches(left.groupBy("node").agg(F.max(F.col("n") > SMALL).alias("crowded"))))
+            waiting = waiting.join(drawn, "node")
+            heads = heads.join(drawn.select(F.col("node").alias("lead"), F.col("sketch").alias("lead_sketch")), "lead")
             near &= alike(F.col("sketch"), F.col("lead_sketch"))
         follow = hot_leaders(waiting, heads, near)
         pairs = follow.select(F.least("lead", "node").alias("a"), F.greatest("lead", "node").alias("b")).distinct()

@@ -76,6 +76,16 @@ def alike(one: Column, two: Column) -> Column:
     return F.bit_count(apart[0]) + F.bit_count(apart[1]) <= 2 * PERMUTATIONS - ALIKE
 
 
+def can_reach(one: Column, two: Column, similarity: int) -> Column:
+    """Whether two sets of ``size`` shingles, of which ``common`` lie in any other set, may reach the similarity.
+
+    Exact: a pair shares at most the smaller ``common``. A pair with an unknown count may.
+    """
+    shared = F.least(one["common"], two["common"])
+    known = one["common"].isNotNull() & two["common"].isNotNull()
+    return ~known | (100 * shared >= similarity * (one["size"] + two["size"] - shared))
+
+
 def sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sizes, names, bands, places = [], [], [], []
@@ -98,6 +108,28 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch["node"], texts], ["node", "packed"])
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per node and shingle; half of its hash will do, as equal halves only make a shingle look common."""
+    codec = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for node, packed in zip(batch["node"].to_pylist(), batch["packed"].to_pylist()):
+            halves = (shingle_set(codec.decompress(packed).decode()) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(halves), node, dtype=np.int64)), pa.array(halves)], ["node", "shingle"])
+
+
+def alone_counts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, alone) of the ``nodes`` (node) that have one text: how many of its shingles no other node has.
+
+    Nodes with several texts make the shingles of others common but have no row.
+    """
+    here = texts.join(nodes, "node", "left_semi")
+    single = here.groupBy("node").agg(F.count(F.lit(1)).alias("texts")).filter("texts = 1")
+    owned = here.mapInArrow(unpacked, "node long, shingle int").groupBy("shingle")
+    owned = owned.agg(F.min("node").alias("node"), F.max("node").alias("high"), F.count(F.lit(1)).alias("n"))
+    alone = owned.filter("node = high").groupBy("node").agg(F.sum("n").alias("alone"))
+    return single.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
 def confirmed(similarity: int):
     """Keep the pairs whose full shingle sets reach the similarity in per cent."""
 
@@ -152,7 +184,7 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = staged(source.mapInArrow(sketches, SKETCH))
     full = rows.filter("n_shingles > 0")
-    sets = staged(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")))
+    sets = staged(full.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("size")))
     members = sets.filter(F.col("node").isNotNull()).select(F.explode("bands").alias("bucket"), "node")
     several = members.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("bucket")
     # only the buckets with several nodes go on, and only the texts of their nodes are kept at hand
@@ -160,13 +192,19 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     nodes = members.select("node").distinct()
     texts = staged(source.filter(F.col("text").isNotNull()).withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").mapInArrow(squeezed, "node long, packed binary"))
 
-    drawn = staged(sets.join(nodes, "node", "left_semi").select("node", "sketch"))
+    def sketched(left: DataFrame) -> DataFrame:
+        counted = alone_counts(texts, left.filter("crowded").select("node"))
+        named = sets.select("node", "sketch", "size").join(left.select("node"), "node").join(counted, "node", "left")
+        return named.select("node", F.struct("sketch", "size", (F.col("size") - F.col("alone")).alias("common")).alias("sketch"))
+
+    def near(one: Column, two: Column) -> Column:
+        return can_reach(one, two, similarity) & alike(one["sketch"], two["sketch"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         sides = with_packed(with_packed(pairs, texts, "b"), texts, "a").select("a", "b", "packed_a", "packed_b")
         return sides.mapInArrow(confirmed(similarity), "a long, b long").distinct()
 
-    _, groups = bucket_links(members, verify, drawn, alike)
+    _, groups = bucket_links(members, verify, sketched, near)
     named = sets.join(groups, "node", "left").select("set_id", "copies", F.coalesce("component", "node").alias("component"))
     found = hot_join(rows, named, ["set_id"], "copies", rows.count())
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
