@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aggregates, encode, spatial, windows
 from ..plans import attribution, expected, forecast, review, scenario, scoring
+from ..session import kept
 from . import analog
 from .analog import define, sql
 from .jobs import _SUMMARY, EDITS, FUTURE, HELD, _band_sql
@@ -166,18 +167,30 @@ define("method_trends", ("method_z", "method_group_sums", "method_fit"), """SELE
 
 
 def method_trends(spark, sf):
-    """Residual trend of each group under each way to bring the monthly driver to an entity's place."""
-    months = _monthly(spark, sf)
-    people, grid = analog.entities(spark, sf), analog.cells(spark, sf)
-    nearest = spatial.nearest_cell(people.drop("cell"), grid, **GRID).select("entity", "cell").join(months, "cell")
-    near = spatial.cells_in_radius(people, "entity", grid, 80.0, **GRID).join(months, "cell").groupBy("entity", "month").agg(F.avg("mm").alias("mm"))
-    parts = [t.select(F.lit(n).alias("method"), "entity", "month", "mm")
-             for n, t in (("bilinear", _bilinear_months(spark, sf)), ("nearest", nearest), ("buffer", near))]
-    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("_who", F.struct("method", "entity"))
+    """Residual trend of each group under each way to bring the monthly driver to an entity's place.
+
+    Months are worked out once a place, and readings are summed by place, group and month before they meet them.
+    """
+    months = kept(_monthly(spark, sf))                         # a row per cell and month
+    people, grid = spatial.with_place(analog.entities(spark, sf)), analog.cells(spark, sf)
+    places = spatial.distinct_places(people)
+    nearest = spatial.nearest_cell(places, grid, **GRID).select("place", "cell").join(months, "cell")
+    near = spatial.cells_in_radius(places, "place", grid, 80.0, **GRID).join(months, "cell").groupBy("place", "month").agg(F.avg("mm").alias("mm"))
+    parts = [t.select(F.lit(n).alias("method"), "place", "month", "mm")
+             for n, t in (("bilinear", _bilinear_months(spark, sf, places, "place", months)), ("nearest", nearest), ("buffer", near))]
+    every = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("_who", F.struct("method", "place"))
     sums = windows.rolling_rows(every, "mm", [3, 12], "_who").drop("_who", "mm")
-    read = analog.readings(spark, sf).withColumn("month", F.trunc("date", "month")).join(people.select("entity", "grp"), "entity")
-    table = read.join(sums, ["entity", "month"]).groupBy("method", "grp", "season_year", "season").agg(
-        F.avg("value").alias("value"), F.avg("mm_3m").alias("mm_3m"), F.avg("mm_12m").alias("mm_12m"))
+    read = analog.readings(spark, sf).withColumn("month", F.trunc("date", "month")).join(people.select("entity", "grp", "place"), "entity")
+    met = read.groupBy("place", "grp", "month", "season_year", "season").agg(
+        F.sum("value").alias("_sum"), F.count("value").alias("_known"), F.count(F.lit(1)).alias("_n")).join(sums, ["place", "month"])
+
+    def mean(x: str):
+        """Mean over the readings: each row stands for ``_n`` of them."""
+        return F.try_divide(F.sum(F.col("_n") * F.col(x)), F.sum(F.when(F.col(x).isNotNull(), F.col("_n")))).alias(x)
+
+    # read by every step of the fit; a row per way, group and season
+    table = kept(met.groupBy("method", "grp", "season_year", "season").agg(
+        F.try_divide(F.sum("_sum"), F.sum("_known")).alias("value"), mean("mm_3m"), mean("mm_12m")))
     fitted = scoring.expected_by(table, "method", ["mm_3m", "mm_12m"], "grp", target="value")
     return attribution.residual_trend(expected.residuals(fitted, "value"), ["method", "grp"], 5)
 
