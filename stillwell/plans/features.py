@@ -7,17 +7,19 @@ row lags and history sums then run over the surviving rows only. Normals come la
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import dates, geometry
-from ..functions.constants import GAP_DAYS, HEAVY_MM, MIN_CORNER_WEIGHT, TRAILING_DAYS, WET_MM
+from ..functions.constants import GAP_DAYS, HEAVY_MM, TRAILING_DAYS, WET_MM
 from ..functions.numbers import ratio_at_least_one, ratio_or_null
 from ..operators import cleaning, series, windows
 from ..operators.joins import lookup_salted
+from ..operators.spatial import with_place
 
-CORNERS = ("00", "01", "10", "11")
+#: Running totals of the driver at a place: whole parts, whose sums are exact, and what is left of them.
+POINT_SUMS = ("cum", "cum_part")
 
 
 def changes(readings: DataFrame, largest: float | None = None, gap: tuple[int, int] = GAP_DAYS) -> DataFrame:
@@ -34,6 +36,16 @@ def pack_driver(daily: DataFrame, value: str = "mm") -> DataFrame:
     return with_peaks(series.pack(daily, {"mm": mm}, prefixes(mm)))
 
 
+def pack_point_driver(daily: DataFrame, value: str = "mm") -> DataFrame:
+    """Packed driver of each place from its daily values; a missing day counts as zero.
+
+    Values between cells are no whole numbers, and a difference of two long running totals would lose digits. So whole
+    parts and fractions have totals of their own.
+    """
+    mm = F.coalesce(F.col(value), F.lit(0.0))
+    return with_peaks(series.pack(daily, {"mm": mm}, prefixes(mm) | {"cum": F.floor(mm), "cum_part": mm - F.floor(mm)}, cell="place"))
+
+
 def with_peaks(packed: DataFrame, side: str = "") -> DataFrame:
     return packed.withColumn(f"peaks{side}", series.range_maxima(F.col(f"mm{side}")))
 
@@ -43,23 +55,28 @@ def prefixes(mm: Column) -> dict[str, Column]:
     return {"cum": mm, "cum_wet": (mm >= WET_MM).cast("int"), "cum_heavy": (mm >= HEAVY_MM).cast("int")}
 
 
-def driver_features(date: Column, previous: Column, gap: Column, side: str = "") -> dict[str, Callable[[], Column]]:
+def driver_features(date: Column, previous: Column, gap: Column, side: str = "",
+                    sums: tuple[str, ...] = ("cum",)) -> dict[str, Callable[[], Column]]:
     """Driver features of one interval by name, to be selected where the packed driver is joined.
 
-    ``side`` ends the names of the packed columns, where a row holds more than one driver.
+    ``side`` ends the names of the packed columns, where a row holds more than one driver. The running total of the
+    driver is the sum of the columns ``sums``.
     """
-    cum, cum_wet, cum_heavy, peaks = (f"{c}{side}" for c in ("cum", "cum_wet", "cum_heavy", "peaks"))
+    cum_wet, cum_heavy, peaks = (f"{c}{side}" for c in ("cum_wet", "cum_heavy", "peaks"))
+
+    def over(span: Callable[..., Column], *at) -> Column:
+        return reduce(add, [span(f"{c}{side}", *at) for c in sums])
 
     def total() -> Column:
-        return series.span_sum(cum, previous, date)
+        return over(series.span_sum, previous, date)
 
     def wet() -> Column:
         return series.span_sum(cum_wet, previous, date).cast("long")
 
-    trailing = {f"mm_{d}d": partial(series.trailing_sum, cum, date, d) for d in TRAILING_DAYS}
+    trailing = {f"mm_{d}d": partial(over, series.trailing_sum, date, d) for d in TRAILING_DAYS}
     return {
         "interval_mm": total, "interval_per_day": lambda: total() / gap, **trailing,
-        "monsoon_mm": lambda: series.monsoon_sum(cum, date), "wet_days": wet,
+        "monsoon_mm": lambda: over(series.monsoon_sum, date), "wet_days": wet,
         "heavy_days": lambda: series.span_sum(cum_heavy, previous, date).cast("long"),
         "max_day_mm": lambda: series.span_max(peaks, previous, date),
         "per_wet_day": lambda: ratio_at_least_one(total(), wet()),
@@ -67,66 +84,21 @@ def driver_features(date: Column, previous: Column, gap: Column, side: str = "")
 
 
 def attach_driver(rows: DataFrame, packed: DataFrame, only: list[str] | None = None, cell: str = "cell",
-                  salts: int = 1) -> DataFrame:
+                  salts: int = 1, sums: tuple[str, ...] = ("cum",)) -> DataFrame:
     """Driver features of each row from one equi-join on the cell; the arrays go no further."""
-    features = driver_features(F.col("date"), F.col("prev_date"), F.col("gap"))
+    features = driver_features(F.col("date"), F.col("prev_date"), F.col("gap"), sums=sums)
     joined = lookup_salted(rows, packed, [cell], salts, ["entity", "date"])
     return joined.select(*rows.columns, *[make().alias(n) for n, make in features.items() if only is None or n in only])
 
 
-def attach_point_driver(rows: DataFrame, quads: DataFrame, lat0: float, lon0: float, step: float, n_lat: int, n_lon: int,
-                        salts: int = 1) -> DataFrame:
-    """Driver features of each row from the driver at its own place, between the four cells around it.
+def attach_point_driver(rows: DataFrame, packed: DataFrame, salts: int = 1) -> DataFrame:
+    """Driver features of each row from the driver at its own place; ``packed`` is from :func:`pack_point_driver`.
 
-    ``rows`` have ``lat`` and ``lon``; ``quads`` has one row per grid square. Each reading takes the last
-    ``max(TRAILING_DAYS)`` days of its square as one slice and weighs the corners day by day, so there is no row per
-    entity and day. A day without a known corner counts as zero. Intervals are at most as long as the slice.
+    The driver between the cells is worked out once a place and day, so a reading is a few array look-ups however long
+    its windows are. ``packed`` grows with the places and the calendar, not with the readings.
     """
-    reach = max(TRAILING_DAYS)
-    corners = geometry.bilinear_corners(F.col("lat"), F.col("lon"), lat0, lon0, step, n_lat, n_lon)
-    placed = rows.withColumn("_c", corners).select(
-        *rows.columns, F.col("_c")[0]["row"].alias("row"), F.col("_c")[0]["col"].alias("col"),
-        *[F.col("_c")[i]["weight"].alias(f"w{n}") for i, n in enumerate(CORNERS)])
-    joined = lookup_salted(placed, quads, ["row", "col"], salts, ["entity", "date"])
-    end, start, gap = series.days_until(F.col("date")), series.days_until(F.col("prev_date")), F.col("gap")
-    size = F.least(end, F.lit(reach))
-
-    def value(day: Column) -> Column:
-        weight = [F.when(day[f"v{n}"].isNotNull(), F.col(f"w{n}")).otherwise(F.lit(0.0)) for n in CORNERS]
-        part = [F.coalesce(day[f"v{n}"] * F.col(f"w{n}"), F.lit(0.0)) for n in CORNERS]
-        total = weight[0] + weight[1] + weight[2] + weight[3]
-        return F.when(total > MIN_CORNER_WEIGHT, (part[0] + part[1] + part[2] + part[3]) / total).otherwise(F.lit(0.0))
-
-    last = F.transform(F.arrays_zip(*[F.slice(f"v{n}", end - size + 1, size).alias(f"v{n}") for n in CORNERS]), value)
-    sliced = joined.withColumn("_mm", last)
-
-    def days(after: Column, until: Column) -> Column:
-        """The days ``(after, until]`` of the slice, both counted from the start of the record."""
-        first = F.greatest(after - (end - size), F.lit(0))
-        return F.slice("_mm", first + 1, F.greatest(until - (end - size) - first, F.lit(0)))
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, v: a + v)
-
-    def count(values: Column, least: float) -> Column:
-        return F.size(F.filter(values, lambda v: v >= least)).cast("long")
-
-    inside = days(start, end)
-    season = dates.monsoon_year(F.col("date"))
-    bounds = [series.days_until(F.make_date(season, F.lit(m), F.lit(d))) for m, d in ((5, 31), (9, 30))]
-    out = {"interval_mm": total(inside), "monsoon_mm": total(days(*bounds)), "wet_days": count(inside, WET_MM),
-           "heavy_days": count(inside, HEAVY_MM), "max_day_mm": F.array_max(inside)}
-    # each trailing sum adds the days that the one before it did not reach
-    steps = list(zip([0, *TRAILING_DAYS], TRAILING_DAYS))
-    out |= {f"_mm_{d}": total(days(end - d, end - before)) for before, d in steps}
-    summed = sliced.select(*rows.columns, end.alias("_end"), *[c.alias(n) for n, c in out.items()])
-    trailing, so_far = {}, F.lit(0.0)
-    for d in TRAILING_DAYS:
-        so_far = so_far + F.col(f"_mm_{d}")
-        trailing[f"mm_{d}d"] = F.when(F.col("_end") >= d, so_far)
-    return summed.withColumns({"interval_per_day": F.col("interval_mm") / gap, **trailing,
-                               "per_wet_day": ratio_at_least_one(F.col("interval_mm"), F.col("wet_days"))}).drop(
-        "_end", *[f"_mm_{d}" for d in TRAILING_DAYS])
+    placed = rows if "place" in rows.columns else with_place(rows)
+    return attach_driver(placed, packed, cell="place", salts=salts, sums=POINT_SUMS)
 
 
 def history(rows: DataFrame, value: str = "interval_mm") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 import oracle
 from stillwell.catalog import ORACLE, QUERIES, scores
 from stillwell.operators import windows
+from stillwell.plans import features
 
 SMALL = "/root/testdata/sf0.001"
 COPIES = 3
@@ -47,6 +48,30 @@ def test_months_of_the_ways_are_rolled_once_a_place(spark, copied, monkeypatch):
     assert sizes[0] == sizes[1] > 0
 
 
-@pytest.mark.parametrize("name", ["method_trends", "method_rankings"])
+@pytest.mark.parametrize("name", ["method_trends", "method_rankings", "bilinear_features", "masked_bilinear"])
 def test_results_on_copies_agree_with_sql(spark, copied, name):
     assert oracle.compare(QUERIES[name](spark, copied), oracle.duck(copied), ORACLE[name]) == []
+
+
+def test_the_daily_driver_is_made_once_a_place(spark, copied, monkeypatch):
+    sizes = []
+
+    def counted(daily, *args, **kwargs):
+        sizes.append(daily.count())
+        return pack(daily, *args, **kwargs)
+
+    pack = features.pack_point_driver
+    monkeypatch.setattr(features, "pack_point_driver", counted)
+    QUERIES["bilinear_features"](spark, SMALL)
+    QUERIES["bilinear_features"](spark, copied)
+    assert sizes[0] == sizes[1] > 0
+
+
+def test_sums_at_a_place_keep_their_digits_late_in_a_long_record(spark):
+    days = spark.range(3000).select(F.struct(F.lit(0.5).alias("lat"), F.lit(0.5).alias("lon")).alias("place"),
+                                    F.date_add(F.lit("1990-01-01").cast("date"), F.col("id").cast("int")).alias("date"),
+                                    (F.lit(1e9) + F.col("id") % 7 / 7).alias("mm"))
+    rows = spark.sql("SELECT 0.5D AS lat, 0.5D AS lon, DATE '1998-03-04' AS date, DATE '1998-03-01' AS prev_date, 3 AS gap")
+    got = features.attach_point_driver(rows, features.pack_point_driver(days)).first()["interval_mm"]
+    last = [(i % 7) / 7 for i in range(2982, 2985)]
+    assert abs(got - 3e9 - sum(last)) < 1e-6
