@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import oracle
 from stillwell.catalog import ORACLE, QUERIES, scores
-from stillwell.operators import windows
+from stillwell.operators import joins, spatial, windows
 from stillwell.plans import features
 
 SMALL = "/root/testdata/sf0.001"
@@ -75,3 +75,48 @@ def test_sums_at_a_place_keep_their_digits_late_in_a_long_record(spark):
     got = features.attach_point_driver(rows, features.pack_point_driver(days)).first()["interval_mm"]
     last = [(i % 7) / 7 for i in range(2982, 2985)]
     assert abs(got - 3e9 - sum(last)) < 1e-6
+
+
+def test_cells_in_reach_are_averaged_once_a_set(spark):
+    near = spark.createDataFrame([(i, c) for i in range(40) for c in ((1, 2) if i % 2 else (2,))], "id int, cell int")
+    values = spark.createDataFrame([(1, 1, 1.0), (2, 1, 3.0), (2, 2, 5.0)], "cell int, month int, mm double")
+    sets = spatial.near_sets(near, "id")
+    got = {tuple(r["near"]): sorted(map(tuple, r["series"])) for r in spatial.set_means(sets, values, "month", "mm").collect()}
+    assert got == {(1, 2): [(1, 2.0), (2, 5.0)], (2,): [(1, 3.0), (2, 5.0)]}
+
+
+def test_no_row_per_entity_and_month_is_grouped(spark, copied):
+    plan = QUERIES["radius_mean"](spark, copied)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [entity" in plan and not [line for line in plan.splitlines() if "Aggregate [entity" in line and "month" in line]
+
+
+def test_days_of_intervals_are_not_moved(spark):
+    spans = spark.sql("SELECT 1 AS id, 7 AS cell, DATE '2000-12-30' AS prev_date, DATE '2001-01-02' AS date "
+                      "UNION ALL SELECT 2, 7, DATE '2001-01-02', DATE '2001-01-02' UNION ALL SELECT 3, 8, DATE '2000-01-01', DATE '2001-01-01'")
+    daily = spark.sql("SELECT 7 AS cell, explode(sequence(DATE '2000-12-01', DATE '2001-01-31', interval 1 day)) AS date").withColumn("mm", F.dayofmonth("date"))
+    days = joins.days_of_intervals(spans, daily, ["id"])
+    assert days.columns == ["id", "cell", "day", "mm"]
+    assert sorted((r["id"], str(r["day"]), r["mm"]) for r in days.collect()) == [(1, "2000-12-31", 31), (1, "2001-01-01", 1), (1, "2001-01-02", 2)]
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "day#" in line]
+
+
+def test_points_that_share_a_place_are_searched_for_once(spark, monkeypatch):
+    ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 1D, 'y', 0D), named_struct('x', 1D, 'y', 1D), named_struct('x', 0D, 'y', 1D), named_struct('x', 0D, 'y', 0D))"
+    polygons = spark.sql(f"SELECT 'a' AS name, {ring} AS ring")
+    points = spark.range(30).selectExpr("id", "0.5D AS lat", "IF(id % 2 = 0, 0.5D, 3D) AS lon")
+    sizes = []
+
+    def counted(points, *args):
+        sizes.append(points.count())
+        return inside_polygon(points, *args)
+
+    inside_polygon = spatial.inside_polygon
+    monkeypatch.setattr(spatial, "inside_polygon", counted)
+    got = {r["id"]: (r["name"], r["distance"]) for r in spatial.polygon_or_nearest(points, "id", polygons, "name").collect()}
+    assert got == {i: ("a", 0.0 if i % 2 == 0 else 2.0) for i in range(30)} and sizes == [2]
+
+
+@pytest.mark.parametrize("name", ["radius_mean", "interval_days_join", "polygon_or_nearest"])
+def test_other_results_on_copies_agree_with_sql(spark, copied, name):
+    assert oracle.compare(QUERIES[name](spark, copied), oracle.duck(copied), ORACLE[name]) == []
