@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 import oracle
 from stillwell.catalog import ORACLE, QUERIES, scores
 from stillwell.operators import joins, spatial, windows
-from stillwell.plans import features
+from stillwell.plans import expected, features
 
 SMALL = "/root/testdata/sf0.001"
 COPIES = 3
@@ -120,3 +120,11 @@ def test_points_that_share_a_place_are_searched_for_once(spark, monkeypatch):
 @pytest.mark.parametrize("name", ["radius_mean", "interval_days_join", "polygon_or_nearest"])
 def test_other_results_on_copies_agree_with_sql(spark, copied, name):
     assert oracle.compare(QUERIES[name](spark, copied), oracle.duck(copied), ORACLE[name]) == []
+
+
+def test_a_fit_reads_rows_that_are_written_once(spark):
+    rows = spark.range(400).selectExpr("id % 7 + 0D AS a", "id % 5 + 0D AS delta", "IF(id % 2 = 0, 'x', 'y') AS season")
+    rows = rows.join(spark.range(7).selectExpr("id + 0D AS a", "count(*) OVER (PARTITION BY id % 3) AS b"), "a")
+    _, table = expected.fit_ridge(rows, ["a"], ["season"], F.lit(True))
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Range" not in plan
