@@ -37,7 +37,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     ``members`` (bucket, node): nodes that share a bucket are candidates. ``verify`` keeps the pairs (a, b) that are
     truly linked. A node weighs as much as its buckets hold: the text that others were made from meets most of them.
     In each round some nodes of a bucket lead it, the heaviest first (one; then all in a bucket of at most SMALL nodes,
-    and 4, 16, ... in larger ones), and are paired with its other nodes of other groups. A bucket is done when all its
+    and 4, 64, ... in larger ones), and are paired with its other nodes of other groups. A bucket is done when all its
     nodes are in one group or all but one have led. So two linked nodes of a bucket always end in one group, no bucket
     emits all its pairs unless nothing in it is linked, and no task ever holds a bucket. A pair is verified once,
     however many buckets it shares. Where ``sketches`` is given, it is called once, with the nodes that are left after
@@ -89,7 +89,7 @@ def bucket_links(members: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         chosen = next_.select("bucket", F.col("lead").alias("node"), F.lit(True).alias("chosen"))
         state = left.select("bucket", "node", "weight", "led").join(chosen, ["bucket", "node"], "left")
         state = state.select("bucket", "node", "weight", (F.col("led") | F.coalesce("chosen", F.lit(False))).alias("led"))
-        leaders *= 4
+        leaders *= 16
 
 
 def hot_leaders(left: DataFrame, leads: DataFrame, near: Column) -> DataFrame:

@@ -30,6 +30,10 @@ TIMES = _RANDOM.integers(0, 1 << 32, (2, PERMUTATIONS), dtype=np.uint32) | np.ui
 #: similarity of 0.75 a place agrees with chance 0.7656: fewer than 74 of 128 agree in about one pair in a million.
 ALIKE = 74
 
+#: Bits of the map of a set's shingles; sets far larger than this fill their maps, and the sketches alone tell them apart.
+MAP_BITS = 1024
+COARSE_BITS = 256
+
 SKETCH = "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"
 BLOCK = 2048
 
@@ -72,8 +76,10 @@ def bit_planes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
 
 def alike(one: Column, two: Column) -> Column:
     """Whether at least ALIKE values of both sketches agree in all four bits."""
-    apart = [reduce(Column.bitwiseOR, [one[2 * place + word].bitwiseXOR(two[2 * place + word]) for place in range(4)]) for word in range(2)]
-    return F.bit_count(apart[0]) + F.bit_count(apart[1]) <= 2 * PERMUTATIONS - ALIKE
+    # as a function of one value: written out, it makes the code of a join too long for the JVM to compile
+    apart = F.zip_with(one, two, Column.bitwiseXOR)
+    count = F.transform(F.array(apart), lambda x: reduce(Column.__add__, [F.bit_count(reduce(Column.bitwiseOR, [x[2 * place + word] for place in range(4)])) for word in range(2)]))
+    return count[0] <= 2 * PERMUTATIONS - ALIKE
 
 
 def can_reach(one: Column, two: Column, similarity: int) -> Column:
@@ -130,6 +136,47 @@ def alone_counts(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     return single.join(alone, "node", "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
 
 
+def shingle_map(shingles: np.ndarray, bits: int = MAP_BITS) -> np.ndarray:
+    """So many bits, each set if a shingle falls on it, as signed 64-bit words."""
+    out = np.zeros(bits, dtype=np.uint8)
+    out[(shingles % np.uint64(bits)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.int64)
+
+
+MAPS = ", ".join(["node long", "map array<long>", "slack long", "coarse_slack long", *[f"coarse_{word} long" for word in range(COARSE_BITS // 64)]])
+
+
+def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The map of each node's shingles, a coarse one, and the slack of both: how many more shingles than bits it has."""
+    codec = zstandard.ZstdDecompressor()
+    names = [part.split()[0] for part in MAPS.split(", ")]
+    for batch in batches:
+        rows = []
+        for node, packed in zip(batch["node"].to_pylist(), batch["packed"].to_pylist()):
+            shingles = shingle_set(codec.decompress(packed).decode())
+            maps = shingle_map(shingles), shingle_map(shingles, COARSE_BITS)
+            slack = [len(shingles) - int(np.bitwise_count(m.view(np.uint64)).sum()) for m in maps]
+            rows.append((node, maps[0], *slack, *maps[1].tolist()))
+        columns = list(zip(*rows)) or [()] * len(names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if name == "map" else pa.int64()) for c, name in zip(columns, names)], names)
+
+
+def may_overlap(one: Column, two: Column, similarity: int) -> Column:
+    """Whether two sets of ``size`` shingles may reach the similarity, by their maps.
+
+    Exact: of the bits that only one map has, each stands for a shingle, at least, that the other set does not have. A
+    pair without both maps may.
+    """
+    def reach(bits: Column, slack: str) -> Column:
+        most = bits + F.least(one[slack], two[slack])
+        return 100 * most >= similarity * (one["size"] + two["size"] - most)
+
+    known = one["slack"].isNotNull() & two["slack"].isNotNull()
+    coarse = reduce(Column.__add__, [F.bit_count(one[f"coarse_{word}"].bitwiseAND(two[f"coarse_{word}"])) for word in range(COARSE_BITS // 64)])
+    fine = F.aggregate(F.zip_with(one["map"], two["map"], lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), Column.__add__)
+    return ~known | (reach(coarse, "coarse_slack") & reach(fine, "slack"))
+
+
 def confirmed(similarity: int):
     """Keep the pairs whose full shingle sets reach the similarity in per cent."""
 
@@ -194,11 +241,13 @@ def near_groups(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
 
     def sketched(left: DataFrame) -> DataFrame:
         counted = alone_counts(texts, left.filter("crowded").select("node"))
+        maps = texts.join(counted, "node").mapInArrow(mapped, MAPS)
+        counted = counted.join(maps, "node")
         named = sets.select("node", "sketch", "size").join(left.select("node"), "node").join(counted, "node", "left")
-        return named.select("node", F.struct("sketch", "size", (F.col("size") - F.col("alone")).alias("common")).alias("sketch"))
+        return named.select("node", F.struct("sketch", "size", (F.col("size") - F.col("alone")).alias("common"), *maps.columns[1:]).alias("sketch"))
 
     def near(one: Column, two: Column) -> Column:
-        return can_reach(one, two, similarity) & alike(one["sketch"], two["sketch"])
+        return can_reach(one, two, similarity) & may_overlap(one, two, similarity) & alike(one["sketch"], two["sketch"])
 
     def verify(pairs: DataFrame) -> DataFrame:
         sides = with_packed(with_packed(pairs, texts, "b"), texts, "a").select("a", "b", "packed_a", "packed_b")
