@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from stillwell.llm import line_dedup, meetings, shared
+from stillwell.llm import line_dedup, meetings, minhash, shared
 from stillwell.llm.anchors import line_keys
 from stillwell.llm.edits import within, within_each
 
@@ -111,3 +111,14 @@ def test_a_search_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch
     left = sorted(p.name for p in tmp_path.iterdir())
     assert next(made) > 8 and len(left) == 2
     assert lines.count() == 60 and lines.filter("NOT kept").count() > 0
+
+
+def test_a_search_for_near_copies_leaves_only_what_its_result_reads(spark, tmp_path, monkeypatch):
+    made = count()
+    monkeypatch.setattr(shared, "shared_folder", lambda _: f"file://{tmp_path}/{next(made)}")
+    rng = random.Random(8)
+    texts = [x for _ in range(8) for x in family(rng, 60, 1) for x in (x, x + " end")]
+    found = minhash.near_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    left = list(tmp_path.iterdir())
+    assert next(made) > 4 and len(left) == 2
+    assert {r.doc_id: r.component_id for r in found.collect()} == {k: k - k % 2 for k in range(16)}
